@@ -21,7 +21,7 @@ from symgraph.llm.common import WORD_TABLE, byte_texts, slices
 
 BLOCK = 64
 #: Share of a template's words that a block must hold.
-CONTAINMENT = 0.8
+CONTAINMENT = 0.9
 #: Phrases whose words must stand consecutively, and their labels (given by the contract).
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 #: Short notices of well-known licences, and their labels.

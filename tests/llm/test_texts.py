@@ -89,7 +89,8 @@ def test_decontaminate(docs, bench, made):
     assert 6 not in texts and 8 not in texts
     left = decontaminate.contamination(out, bench)
     assert left.where("n_hit >= 10").count() == 0
-    assert len(words(texts[9])) == 6000
+    whole = brute([made[0][9]], [x for x in made[1] if x[0] is not None])[0]
+    assert len(words(texts[9])) == whole[1] - whole[2] > 5000
 
 
 def test_licenses(docs, made):
@@ -289,7 +290,7 @@ def test_quality(docs, made):
 
 
 def test_frequent_lines(spark):
-    body = lambda i: "\n".join(f"own line {i} {k} " + "w " * 12 for k in range(6))
+    body = lambda i: "\n".join(" ".join(f"own{i}.{k}.{n}" for n in range(12)) for k in range(6))
     rows = [(i, body(i) + "\nSubscribe  to our NEWS", "a") for i in range(12)] + [(50, body(50) + "\nsubscribe to our news", "b"), (51, "shared tail " * 30 + "\n" + "z " * 3, "a"), (52, None, "a")]
     rows += [(60 + i, ("boiler plate text %d " % (i % 2)) * 20 + "\nown " + str(i), "a") for i in range(12)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
