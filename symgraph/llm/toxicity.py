@@ -26,7 +26,11 @@ from symgraph.llm.common import slices
 #: Labelled rows that the lexicon and the curve are fitted on, about (rows are taken by a hash of their id).
 FIT_ROWS = 20_000
 #: Terms and stems in the lexicon at most: it goes to every task.
-LEXICON = 600
+LEXICON = 100
+#: Share of the toxic rows that must have a term: words that only chance or a group of copies ties to the label stay out.
+SUPPORT = 0.01
+#: Log odds, as a share of the least that any needed term has, from which a term that isn't needed is kept too.
+KEEN = 0.85
 STEM = range(3, 9)
 #: Words to each side that are a hit's context.
 CONTEXT = 8
@@ -120,20 +124,21 @@ class FuzzyTrie:
 
 @dataclass
 class Model:
-    """weights: log odds of each term; curve: intercept and slope of the logistic curve over a text's summed weight."""
+    """weights: log odds of each term; misspelled: what a misspelling of it counts; curve: intercept and slope of the logistic curve over a text's summed weight."""
 
     weights: dict[str, float] = field(default_factory=dict)
+    misspelled: dict[str, float] = field(default_factory=dict)
     stems: frozenset[str] = frozenset()
     curve: tuple[float, float] = (-2.0, 0.0)
 
     def key(self) -> tuple:
-        return tuple(sorted(self.weights.items())), self.stems, self.curve
+        return tuple((t, w, self.misspelled.get(t, MISSPELLED * w)) for t, w in sorted(self.weights.items())), self.stems, self.curve
 
 
 @lru_cache(maxsize=2)
-def _matcher(key: tuple) -> tuple[FuzzyTrie, dict[str, float], dict[str, tuple[str, int] | None]]:
+def _matcher(key: tuple) -> tuple[FuzzyTrie, dict[str, tuple[float, float]], dict[str, tuple[str, int] | None]]:
     weights, stems, _ = key
-    return FuzzyTrie({t: t in stems for t, _ in weights}), dict(weights), {}
+    return FuzzyTrie({t: t in stems for t, _, _ in weights}), {t: (w, m) for t, w, m in weights}, {}
 
 
 def find_hits(text: str, key: tuple) -> list[tuple[int, str, int, float]]:
@@ -143,11 +148,14 @@ def find_hits(text: str, key: tuple) -> list[tuple[int, str, int, float]]:
     words = _WORD.findall(low)
     if len(known) > 300_000:
         known.clear()
-    for w in set(words) - known.keys():
-        known[w] = trie.find(w)
-    hits = [(i, *known[w]) for i, w in enumerate(words) if known[w]]
-    if not hits:
+    different = set(words)
+    for w in different:
+        if w not in known:
+            known[w] = trie.find(w)
+    found = {w: hit for w in different if (hit := known[w])}
+    if not found:
         return []
+    hits = [(i, *found[w]) for i, w in enumerate(words) if w in found]
     places = [m.start() for m in _WORD.finditer(low)] if _QUOTES.search(low) else []
     marks = [m.start() for m in _QUOTES.finditer(low)]
     at = {i for i, *_ in hits}
@@ -173,7 +181,7 @@ def total_weight(text: str, key: tuple) -> float:
     _, weights, _ = _matcher(key)
     best: dict[str, float] = {}
     for _, term, errors, factor in find_hits(text, key):
-        best[term] = max(best.get(term, 0.0), weights[term] * factor * MISSPELLED**errors)
+        best[term] = max(best.get(term, 0.0), weights[term][errors > 0] * factor)
     return log(1 + sum(best.values()))
 
 
@@ -217,6 +225,30 @@ def choose_terms(rows: Iterable[tuple[str, int, int]], n1: int, n0: int) -> tupl
     return {t: kept[t][0] for t in best}, frozenset(t for t in best if t in shortest)
 
 
+def cover(rows: list[tuple[list[str], list[str], int]], weights: dict[str, float]) -> tuple[dict[str, float], dict[str, float]]:
+    """Of these terms the fewest that explain the toxic rows, greedily, and those with about as high odds; and what a misspelling of each counts.
+
+    rows: (terms met, terms met misspelled, label). A term must reach toxic rows that no term before it reaches, or be as
+    telling on its own (KEEN). A misspelling counts less the more clean rows have it.
+    """
+    n1 = sum(y for *_, y in rows)
+    chosen: dict[str, float] = {}
+    left = [(set(exact) & weights.keys(), y) for exact, _, y in rows]
+    while True:
+        gain: Counter = Counter()
+        for terms, y in left:
+            gain.update({t: 1 if y else -5 for t in terms})
+        best = max(gain, key=lambda t: (gain[t], t), default=None)
+        if best is None or gain[best] < max(2, int(SUPPORT * n1 / 2)):
+            break
+        chosen[best] = weights[best]
+        left = [(terms, y) for terms, y in left if best not in terms]
+    keen = KEEN * min(chosen.values(), default=0.0)
+    chosen |= {t: w for t, w in weights.items() if chosen and w >= keen}
+    seen = {y: Counter(t for exact, wrong, label in rows if label == y for t in set(wrong) - set(exact)) for y in (0, 1)}
+    return chosen, {t: MISSPELLED * w * (seen[1][t] + 2) / (seen[1][t] + seen[0][t] + 2) for t, w in chosen.items()}
+
+
 def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Logistic regression on one feature, by Newton's steps; a small ridge and two pseudo-rows keep it finite."""
     x, y = np.append(x, [0.0, x.max() if len(x) else 1.0]), np.append(y, [0.0, 1.0])
@@ -246,9 +278,20 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
         return Model()
     counts = picked.mapInArrow(_term_counts, "term string, n1 long, n0 long").groupBy("term").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
     # what choose_terms could take: bounded by the best 50 x LEXICON by support
-    likely = counts.where(f"n1 >= {max(3, n1 // 500)} and (n1 + 0.5) / {n1 + 1} > 2.7 * (n0 + 0.5) / {n0 + 1}").orderBy(F.desc("n1"), "n0", "term").limit(50 * LEXICON)
+    likely = counts.where(f"n1 >= {max(3, int(SUPPORT * n1))} and (n1 + 0.5) / {n1 + 1} > 2.7 * (n0 + 0.5) / {n0 + 1}").orderBy(F.desc("n1"), "n0", "term").limit(50 * LEXICON)
     weights, stems = choose_terms([tuple(r) for r in likely.collect()], n1, n0)
-    key = Model(weights, stems).key()
+    first = Model(weights, {}, stems).key()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hits = [find_hits(t or "", first) for t in batch.column("text").to_pylist()]
+            lists = [pa.array([sorted({h[1] for h in own if (h[2] > 0) == wrong}) for own in hits], pa.list_(pa.string())) for wrong in (False, True)]
+            yield pa.RecordBatch.from_arrays([*lists, batch.column("toxic").cast(pa.int32())], names=["exact", "wrong", "y"])
+
+    met = picked.mapInArrow(meet, "exact array<string>, wrong array<string>, y int").collect()  # LEXICON terms at most for each of about fit_rows rows
+    weights, misspelled = cover([(r.exact, r.wrong, r.y) for r in met], weights)
+    stems = frozenset(stems & weights.keys())
+    key = Model(weights, misspelled, stems).key()
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -257,7 +300,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     pairs = picked.mapInArrow(weigh, "x double, y int").collect()  # two numbers for each of about fit_rows rows
     x, y = np.array([r.x for r in pairs]), np.array([r.y for r in pairs], float)
     order = np.lexsort((y, x))
-    return Model(weights, stems, fit_curve(x[order], y[order]))
+    return Model(weights, misspelled, stems, fit_curve(x[order], y[order]))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", into: str = "score") -> DataFrame:

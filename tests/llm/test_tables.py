@@ -86,7 +86,7 @@ def test_stems_match_beginnings():
 
 
 def test_context_windows():
-    key = toxicity.Model({"idiot": 3.0}, frozenset(), (-4.0, 6.0)).key()
+    key = toxicity.Model({"idiot": 3.0}, {}, frozenset(), (-4.0, 6.0)).key()
     abuse, quoted, reported = (toxicity.total_weight(t, key) for t in ("you are an idiot today", 'a note on "idiot" in plays', "the term idiot is old"))
     assert abuse > reported > quoted > 0
     assert toxicity.total_weight("an idi0t idjot", key) > 0 and toxicity.total_weight("fine words", key) == 0
