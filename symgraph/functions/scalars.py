@@ -67,8 +67,3 @@ def call_literals(text: Column) -> Column:
     found = F.regexp_extract_all(text, F.lit(r"""(?:fetch|post|get|put|delete)\(\s*["'`]([^"'`]+)["'`]"""), F.lit(1))
     return F.filter(found, lambda x: F.length(x) >= 2)
 
-
-def is_entrypoint_route(attribute: Column) -> Column:
-    """A decorator whose last dotted name is an HTTP verb or route."""
-    verbs = ["get", "post", "put", "delete", "patch", "head", "options", "route", "websocket", "api_route", "trace"]
-    return F.lower(F.regexp_extract(attribute, r"^@?(?:[A-Za-z_][\w]*\.)*([A-Za-z_]\w*)", 1)).isin(verbs)

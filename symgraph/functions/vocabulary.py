@@ -18,3 +18,16 @@ CONSTANT_KINDS = ["constant"]
 #: Cost in cents of a million tokens by a part of the model's name; first match wins, else the last value.
 MODEL_CENTS = [("claude", 300.0), ("gpt", 250.0), ("gemini", 150.0), ("qwen", 50.0)]
 DEFAULT_CENTS = 300.0
+#: Fixed: modules that count as Python's standard library.
+PYTHON_STDLIB = """abc ast asynchat asyncio asyncore atexit base64 bdb binascii bisect builtins bz2 calendar cgi chunk cmath cmd code codecs codeop
+collections colorsys compileall concurrent configparser contextlib contextvars copy copyreg csv ctypes curses dataclasses datetime dbm decimal difflib dis
+distutils doctest email encodings enum errno filecmp fileinput fnmatch fractions ftplib functools gc getopt getpass gettext glob grp gzip hashlib heapq hmac
+html http imaplib importlib inspect io ipaddress itertools json keyword linecache locale logging lzma mailbox marshal math mimetypes mmap multiprocessing
+netrc numbers operator optparse os pathlib pdb pickle pickletools pkgutil platform pprint profile pstats pty pwd queue random re readline reprlib resource
+runpy sched secrets select selectors shelve shlex shutil signal site smtplib socket socketserver sqlite3 ssl stat statistics string stringprep struct
+subprocess sys sysconfig tarfile tempfile test textwrap threading time timeit tkinter token tokenize tomllib traceback tracemalloc types typing unicodedata
+unittest urllib uuid venv warnings wave weakref webbrowser xml xmlrpc zipapp zipfile zipimport zlib zoneinfo _thread typing_extensions pydantic""".split()
+#: Fixed: modules that Node has built in.
+NODE_BUILTINS = """assert async_hooks buffer child_process cluster console constants crypto dgram diagnostics_channel dns domain events fs http http2 https
+inspector module net os path perf_hooks process punycode querystring readline repl stream string_decoder sys timers tls trace_events tty url util v8 vm
+worker_threads zlib""".split()
