@@ -81,3 +81,8 @@ def closest_definition(symbols: DataFrame, name: str, line: int) -> DataFrame:
 def path_directories(files: DataFrame) -> DataFrame:
     """(directory, n): how many files each directory holds itself."""
     return files.groupBy(parent_dir(F.col("path")).alias("directory")).agg(F.count("*").alias("n"))
+
+
+def import_map(relationships: DataFrame) -> DataFrame:
+    """(file_id, name, rel_id): the last import of each name in each file."""
+    return relationships.where("kind = 'imports'").groupBy("file_id", "name").agg(F.max("rel_id").alias("rel_id"))

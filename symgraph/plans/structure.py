@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symgraph.operators import classify, diagnostics, paths, relational, resolve
+from symgraph.operators import classify, diagnostics, iterative, linking, manifest, paths, relational, resolve
 from symgraph.plans.catalogue import _add, _arcs, _over_graph, _over_table, _start
 from symgraph.sources import adapter, repository
+from symgraph.streaming import reindex
 
 # classifiers ----------------------------------------------------------------------------------------------------------
 
@@ -123,3 +124,29 @@ def diagnose(spark: SparkSession, sf_dir: str) -> DataFrame:
     bindings = rel.select("file_id", F.lit("variable").alias("kind"), "name", F.when(F.col("state") == "RepositorySymbol", F.col("name")).alias("type_name"))
     manifest = spark.range(1).select("id", F.lit(diagnostics.PIPELINE_VERSION).alias("version"))
     return diagnostics.run(spark, diagnostics.Tables(g.files, g.symbols, g.edges, rel, bindings, g.symbols.select("symbol_id"), manifest))
+
+
+# manifest, links, incremental work ------------------------------------------------------------------------------------
+
+_over_graph("manifest_largest", """, m AS (SELECT symbol_id, 'fan_in' AS metric, fan_in AS value FROM degrees UNION ALL SELECT symbol_id, 'fan_out', fan_out FROM degrees UNION ALL SELECT symbol_id, 'connections', fan_in + fan_out FROM degrees)
+SELECT metric, symbol_id, value FROM (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY value DESC, symbol_id) AS r FROM m) WHERE r = 1""")(lambda g: manifest.largest(relational.degree(g.symbols, g.edges)))
+_over_graph("language_share", "SELECT regexp_extract(path, '\\.([^./]+)$', 1) AS extension, count(*) AS files, round(100.0 * count(*) / (SELECT count(*) FROM files), 6) AS percent FROM files GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 8")(lambda g: manifest.language_share(g.files))
+_over_graph("architecture_health", "SELECT count(*) AS symbols, count(*) FILTER (fan_in + fan_out = 0) AS orphans, round(100.0 * count(*) FILTER (fan_in + fan_out = 0) / count(*), 6) AS orphan_percent, CAST(round(100 - least(0.4 * 100.0 * count(*) FILTER (fan_in + fan_out = 0) / count(*), 30)) AS BIGINT) - 3 AS score FROM degrees")(lambda g: manifest.health(relational.degree(g.symbols, g.edges), 1))
+_over_graph("communities", None)(lambda g: manifest.communities(iterative.label_propagation(_arcs(g.edges)), g.symbols, g.files, g.edges))
+
+
+@_add("import_map", "SELECT file_id, name, max(rel_id) AS rel_id FROM relationships WHERE kind = 'imports' GROUP BY 1, 2")
+def import_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.import_map(adapter.relationships(spark, sf_dir))
+
+
+_over_table("documents", "embedding_work", "SELECT doc_id AS symbol_id, sha256(text) AS body_hash, CASE WHEN NOT contains(text, 'license') THEN 'skip' WHEN text IN (SELECT replace(text, 'license', 'licence') FROM documents) THEN 'reuse' ELSE 'embed' END AS action FROM documents")(
+    lambda d: reindex.embedding_work(d.select(F.col("doc_id").alias("symbol_id"), F.sha2("text", 256).alias("body_hash")), d.select(F.col("doc_id").alias("symbol_id"), F.sha2(F.replace("text", F.lit("license"), F.lit("licence")), 256).alias("body_hash")))
+)
+
+
+@_add("host_mentions", "SELECT DISTINCT p.page_id AS h, s.name AS n FROM pages p JOIN (SELECT DISTINCT source AS name FROM documents) s ON contains(p.url, s.name)", graph=False)
+def host_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which document sources the addresses of pages name."""
+    names = adapter.read(spark, sf_dir, "documents").select(F.col("source").alias("n"), F.col("source").alias("part")).distinct()
+    return linking.substring_pairs(adapter.read(spark, sf_dir, "pages").select(F.col("page_id").alias("h"), F.col("url").alias("text")), names).select("h", "n").distinct()

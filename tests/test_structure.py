@@ -5,12 +5,13 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from symgraph.operators import classify, diagnostics, paths, resolve
+from symgraph.operators import classify, diagnostics, linking, manifest, paths, resolve
 from symgraph.plans import catalogue, structure  # noqa: F401
 from symgraph.sources import python_frontend, repository
+from symgraph.streaming import reindex
 from tests.test_catalogue import SF, duck, plain  # noqa: F401
 
-NEW = "feature_flags entrypoint_categories directory_layers entrypoint_classes resolve_names resolve_paths name_like file_changes index_freshness line_slices file_cascade explore_nodes method_origins contract_violations unbacked_references duplicate_definitions excess_edges".split()
+NEW = "feature_flags entrypoint_categories directory_layers entrypoint_classes resolve_names resolve_paths name_like file_changes index_freshness line_slices file_cascade explore_nodes method_origins contract_violations unbacked_references duplicate_definitions excess_edges manifest_largest language_share architecture_health import_map embedding_work host_mentions".split()
 
 
 @pytest.mark.parametrize("name", NEW)
@@ -178,3 +179,37 @@ def test_diagnostics_gate(spark):
     sound = statuses("LexicalScopeMatch")
     assert sound[0] == "Warning" and "Fail" not in sound and "Skipped" not in sound
     assert statuses(None)[7:] == ["Fail"] + ["Skipped"] * 6
+
+
+def test_links(spark):
+    sources = spark.createDataFrame([(1, "fetch('/api/run/[id]'); fetch(\"/api/other\")"), (2, "fetch('/x')"), (3, None)], "symbol_id long, source string")
+    routes = spark.createDataFrame([(9, "web/app/api/run/route.ts"), (8, "web/app/API/run/route.ts"), (7, "web/api/none.ts")], "symbol_id long, path string")
+    assert [tuple(r) for r in linking.connectors(sources, routes).collect()] == [(1, "/api/run/[id]", 8)]
+    contents = spark.createDataFrame([(1, "post('/api/login') get('/api/login')"), (2, "fetch(`/users/all`)"), (3, "")], "file_id long, content string")
+    ends = spark.createDataFrame([(1, "login", None), (2, "all", []), (3, "list_users", ["@app.get('/users/all')"])], "symbol_id long, name string, attributes array<string>")
+    assert {tuple(r)[:2] for r in linking.interactions(contents, ends).collect()} == {(1, 1), (2, 3)}
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abc") for _ in range(n))
+    texts, parts = [word(rng.randrange(12)) for _ in range(40)], [word(rng.randrange(6)) for _ in range(30)]
+    got = linking.substring_pairs(spark.createDataFrame(list(enumerate(texts)), "h int, text string"), spark.createDataFrame(list(enumerate(parts)), "n int, part string"))
+    assert sorted((r.h, r.n) for r in got.collect()) == sorted((h, n) for h, t in enumerate(texts) for n, p in enumerate(parts) if p and p in t)
+
+
+def test_manifest(spark):
+    rel = lambda *sources: spark.createDataFrame([("imports", s) for s in sources], "kind string, source string")
+    files = spark.createDataFrame([("web/app/page.tsx",), ("a.py",)], "path string")
+    kinds = lambda r, f: {x.framework: x.confidence for x in manifest.frameworks(r, f).collect()}
+    assert kinds(rel("react"), files) == {"Next.js": "Medium", "React": "High"} and kinds(rel("react", "express", None), files.limit(0)) == {"Express": "High"} and kinds(rel("next/link", "react"), files.limit(0)) == {"Next.js": "High"}
+    paths_ = spark.createDataFrame([("a",)] * 5 + [("b",)] * 3, "path string")
+    assert tuple(manifest.dominant_file(paths_).first()) == ("a", 5, 62.5) and manifest.dominant_file(paths_.where("path = 'b'")).isEmpty()
+    degrees = spark.createDataFrame([(1, 0, 0), (2, 1, 1)], "symbol_id long, fan_in long, fan_out long")
+    assert manifest.health(degrees, 50).first().score == 40 and manifest.health(degrees.limit(0), 0).first().score == 100
+
+
+def test_follow_stream(spark, tmp_path):
+    at, table = str(tmp_path / "in"), []
+    for rows in ([("a", 1, "x"), ("b", 1, "y")], [("a", 2, "z"), ("a", 1, "old")]):
+        spark.createDataFrame(rows, "path string, version long, content string").write.mode("append").parquet(at)
+        stream = spark.readStream.schema("path string, version long, content string").parquet(at)
+        reindex.follow(stream, lambda: spark.createDataFrame(table, "path string, version long, content string") if table else None, lambda df: table.__setitem__(slice(None), df.collect()), str(tmp_path / "checkpoint")).awaitTermination()
+    assert {tuple(r) for r in table} == {("a", 2, "z"), ("b", 1, "y")}
