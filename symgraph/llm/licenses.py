@@ -69,14 +69,24 @@ def index(found: dict[bytes, int], specs: list[tuple]) -> dict[bytes, list[tuple
     return by_word
 
 
-def scan_words(words: list[bytes], by_word: dict[bytes, list[tuple[int, int]]], specs: list[tuple], block: int = BLOCK) -> tuple[list[tuple[int, str]], dict[str, float]]:
-    """Places of phrases as (start, label), in order, and the largest containment of each label whose templates a block meets."""
+def nested(specs: list[tuple]) -> dict[int, list[int]]:
+    """For each template those whose words are all among its own, and fewer."""
+    return {t: inner for t, (words, *_) in enumerate(specs) if (inner := [u for u, (other, *_) in enumerate(specs) if other < words])}
+
+
+def scan_words(words: list[bytes], by_word: dict[bytes, list[tuple[int, int]]], specs: list[tuple], block: int = BLOCK, inner: dict[int, list[int]] | None = None) -> tuple[list[tuple[int, str]], dict[str, float]]:
+    """Places of phrases as (start, label), in order, and the largest containment of each label whose templates a block meets.
+
+    With `inner` (see nested), a template that a block holds only in part gives no label there if the block holds one of
+    another label whole that is nested in it: what it has of the larger template is that smaller one.
+    """
     step, best, places = block // 2, {}, set()
     blocks = sorted({b for i, w in enumerate(words) if w in by_word for b in (i // step, i // step - 1) if b >= 0})
     for b in blocks:
         own = words[b * step : b * step + block]
         held = set(own)
         firsts: dict[int, int] = {}
+        met: dict[int, float] = {}
         for w in held & by_word.keys():
             for t, place in by_word[w]:
                 firsts[t] = min(place, firsts.get(t, place))
@@ -93,7 +103,11 @@ def scan_words(words: list[bytes], by_word: dict[bytes, list[tuple[int, int]]],
                 places.update((b * step + i, t) for i in starts)
                 if not starts:
                     continue
-            best[specs[t][2]] = max(best.get(specs[t][2], 0.0), have / size)
+            met[t] = have / size
+        for t, share in met.items():
+            label = specs[t][2]
+            if share == 1 or not any(met.get(u) == 1 and specs[u][2] != label for u in (inner or {}).get(t, [])):
+                best[label] = max(best.get(label, 0.0), share)
     return sorted((i, specs[t][2]) for i, t in places), best
 
 
@@ -105,7 +119,7 @@ def license_scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: di
 
     Null texts are empty: no words, no labels (empty strings), score 0, null places. Repeated rows and null ids keep a
     row each; an empty table gives none. Other columns, whatever their names, are ignored. Templates longer than half a
-    block are refused: a block might cut them.
+    block are refused: a block might cut them. A notice nested in another's words (see scan_words) isn't taken for that.
     """
     specs = templates(phrases, notices, containment)
     if long := [s for s in specs if max(len(s[0]), len(s[3] or ())) > block // 2]:
@@ -113,6 +127,7 @@ def license_scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: di
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     vocabulary = frozenset().union(*(s[0] for s in specs))
     counts = rows.select("text").mapInArrow(_count(vocabulary), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    inner = nested(specs)
     by_word = index({r.word.encode(): r.n for r in counts.collect()}, specs)  # a row for each word of the templates at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +135,7 @@ def license_scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: di
             out = []
             for doc_id, text in zip(batch.column(0).to_pylist(), byte_texts(batch.column(1))):
                 words = text.translate(WORD_TABLE).split()
-                places, best = ([], {}) if by_word.keys().isdisjoint(words) else scan_words(words, by_word, specs, block)
+                places, best = ([], {}) if by_word.keys().isdisjoint(words) else scan_words(words, by_word, specs, block, inner)
                 starts = [i for i, _ in places]
                 out.append((doc_id, len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in places})), ",".join(sorted(best)), max(best.values(), default=0.0)))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), RESULT)], schema=RESULT)

@@ -125,6 +125,14 @@ def test_license_join_is_exact(containment):
         assert licenses.scan_words(text, by_word, specs, 24)[1] == best
 
 
+def test_nested_notices():
+    specs = licenses.templates(licenses.PHRASES, licenses.NOTICES, licenses.CONTAINMENT)
+    by_word, inner = licenses.index({}, specs), licenses.nested(specs)
+    labels = lambda text: sorted(licenses.scan_words(text.encode().split(), by_word, specs, inner=inner)[1])
+    gpl = "licensed under the gnu general public license version 3"
+    assert labels(gpl) == ["gpl-3"] and labels(gpl.replace("general", "lesser general")) == ["gpl-3", "lgpl-3"]  # the larger notice holds the smaller one's words
+
+
 def plain_print(text):
     w = SPACED.findall((text or "").translate(UP))
     runs = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) > 2 else [" ".join(w)] * bool(w)
