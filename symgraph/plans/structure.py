@@ -145,8 +145,9 @@ _over_table("documents", "embedding_work", "SELECT doc_id AS symbol_id, sha256(t
 )
 
 
-@_add("host_mentions", "SELECT DISTINCT p.page_id AS h, s.name AS n FROM pages p JOIN (SELECT DISTINCT source AS name FROM documents) s ON contains(p.url, s.name)", graph=False)
-def host_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which document sources the addresses of pages name."""
-    names = adapter.read(spark, sf_dir, "documents").select(F.col("source").alias("n"), F.col("source").alias("part")).distinct()
-    return linking.substring_pairs(adapter.read(spark, sf_dir, "pages").select(F.col("page_id").alias("h"), F.col("url").alias("text")), names).select("h", "n").distinct()
+@_add("type_words", "SELECT t.p_type AS h, w.word AS n FROM (SELECT DISTINCT p_type FROM part) t JOIN (SELECT DISTINCT unnest(string_split(p_type, ' ')) AS word FROM part) w ON contains(t.p_type, w.word)", graph=False)
+def type_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which words of part types are in which types."""
+    types = adapter.read(spark, sf_dir, "part").select(F.col("p_type").alias("h"), F.col("p_type").alias("text")).distinct()
+    words = types.select(F.explode(F.split("text", " ")).alias("n")).distinct().withColumn("part", F.col("n"))
+    return linking.substring_pairs(types, words).select("h", "n")

@@ -11,7 +11,7 @@ from symgraph.sources import python_frontend, repository
 from symgraph.streaming import reindex
 from tests.test_catalogue import SF, duck, plain  # noqa: F401
 
-NEW = "feature_flags entrypoint_categories directory_layers entrypoint_classes resolve_names resolve_paths name_like file_changes index_freshness line_slices file_cascade explore_nodes method_origins contract_violations unbacked_references duplicate_definitions excess_edges manifest_largest language_share architecture_health import_map embedding_work host_mentions".split()
+NEW = "feature_flags entrypoint_categories directory_layers entrypoint_classes resolve_names resolve_paths name_like file_changes index_freshness line_slices file_cascade explore_nodes method_origins contract_violations unbacked_references duplicate_definitions excess_edges manifest_largest language_share architecture_health import_map embedding_work type_words".split()
 
 
 @pytest.mark.parametrize("name", NEW)
