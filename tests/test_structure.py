@@ -213,3 +213,22 @@ def test_follow_stream(spark, tmp_path):
         stream = spark.readStream.schema("path string, version long, content string").parquet(at)
         reindex.follow(stream, lambda: spark.createDataFrame(table, "path string, version long, content string") if table else None, lambda df: table.__setitem__(slice(None), df.collect()), str(tmp_path / "checkpoint")).awaitTermination()
     assert {tuple(r) for r in table} == {("a", 2, "z"), ("b", 1, "y")}
+
+
+def test_labels_and_communities(spark):
+    from collections import Counter
+
+    from symgraph.operators import iterative
+
+    rng = random.Random(8)
+    arcs = [(rng.randrange(12), rng.randrange(12)) for _ in range(20)]
+    near = [(a, b) for a, b in arcs] + [(b, a) for a, b in arcs]
+    label = {a: a for a, _ in near}
+    for _ in range(5):
+        votes = {n: Counter(label[b] for a, b in near if a == n) for n in label}
+        label = {n: min(c, key=lambda x: (-c[x], x)) for n, c in votes.items()}
+    assert {r.node: r.label for r in iterative.label_propagation(spark.createDataFrame(arcs, "src long, dst long")).collect()} == label
+    files, symbols, edges = index(spark, [(1, "./src/auth/a.ts"), (2, "./src/lib/b.ts"), (3, "./pay/c.ts")], [(1, 1, "a"), (2, 1, "b"), (3, 2, "c"), (4, 3, "d")], [(1, 1, 4), (1, 2, 3), (3, 4, 4)])
+    groups = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (4, 4)], "node long, label long")
+    got = {tuple(r) for r in manifest.communities(groups, symbols, files, edges).collect()}
+    assert got == {(1, "auth", 3, 1, 0), (4, "pay", 1, 0, 1)}
