@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from symgraph.llm.common import LOWER_TABLE, ascii_lower, byte_texts, materialize, slices
 
-#: A line of a host is removed if more documents have it than this, and than this share of the host's documents.
-LINE_DOCS, LINE_SHARE = 20, 0.002
+#: A line of a host is removed if more of its documents have it than this, however many documents the host has.
+LINE_DOCS = 20
 #: A document is rejected if less than this share of its words is left.
 LEAST_LEFT = 0.3
 MIN_WORDS = 50
@@ -78,13 +78,15 @@ def document_rows(docs: DataFrame, id_col: str, text_col: str, host_col: str) ->
     return rows.mapInArrow(run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, host string, lines array<long>, weights array<int>")
 
 
-def frequent_lines(lines: DataFrame, hosts: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
-    """(host, line) above the limits; `lines` has one row for each document and distinct line, `hosts` (host, docs)."""
+def frequent_lines(lines: DataFrame, hosts: DataFrame, line_docs: int = LINE_DOCS, line_share: float = 0.0) -> DataFrame:
+    """(host, line) above the limit; `lines` has one row for each document and distinct line, `hosts` (host, docs). A line_share also asks for that share of the host's documents, a limit that grows with the host."""
     counted = lines.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > line_docs)
+    if not line_share:
+        return counted.select("host", "line")
     return counted.join(hosts, "host").where(F.col("n") > F.col("docs") * line_share).select("host", "line")
 
 
-def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, least_left: float = LEAST_LEFT) -> DataFrame:
+def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", line_docs: int = LINE_DOCS, line_share: float = 0.0, least_left: float = LEAST_LEFT) -> DataFrame:
     """One row per row of docs: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_removed_words.
 
     Null and blank texts have no words and fail. A null host is one host of its own (""). Each row is a document, so a
@@ -101,8 +103,8 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & left).alias("kept"), "n_removed_words")
 
 
-def remove_frequent_lines(docs: DataFrame, text_col: str = "text", host_col: str = "source", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
-    """docs with the lines above the limits taken out of their texts; texts without such lines, null ones too, stay as they are."""
+def remove_frequent_lines(docs: DataFrame, text_col: str = "text", host_col: str = "source", line_docs: int = LINE_DOCS, line_share: float = 0.0) -> DataFrame:
+    """docs with the lines above the limit taken out of their texts; texts without such lines, null ones too, stay as they are."""
     rows = materialize(docs.select(F.struct("*").alias("_row"), F.monotonically_increasing_id().alias("_id")), "rows")
     host = F.coalesce(F.col(f"_row.{host_col}").cast("string"), F.lit(""))
     lines = rows.select("_id", host.alias("host"), F.posexplode(F.split(f"_row.{text_col}", "\n")).alias("at", "text"))

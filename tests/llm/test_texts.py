@@ -8,6 +8,7 @@ from collections import Counter
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from symgraph.llm import decontaminate, licenses, matrices, packing, pii, quality, simhash, tokens
 
@@ -309,6 +310,16 @@ def test_frequent_lines(spark):
     assert texts[3] == body(3) and texts[50] == rows[12][1] and texts[52] is None and texts[60] == "own 0"
 
 
+def test_frequent_lines_of_a_large_host(spark):
+    n, least = 15_000, quality.LINE_DOCS + 1  # production limits: the count alone decides, on hosts of any size
+    text = F.concat(F.lit("own line "), F.col("id"), F.when(F.col("id") < least, "\nSubscribe to our news").when(F.col("id") < 2 * least - 1, "\njust at the limit").otherwise(""))
+    frame = spark.range(n).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("hot").alias("source"))
+    removed = {r.doc_id: r.n_removed_words for r in quality.quality(frame).where("n_removed_words > 0").collect()}
+    assert removed == {i: 4 for i in range(least)}
+    texts = quality.remove_frequent_lines(frame).where("text like '%\n%'").collect()
+    assert sorted(r.doc_id for r in texts) == list(range(least, 2 * least - 1))
+
+
 def test_pseudonyms(docs, spark):
     rows = [(1, "card 4111111111111111, again 4111 1111 1111 1111."), (2, "4111111111111111 and 4111111111111112"), (3, None), (4, ""), (5, "born 1999-12-31 at 10.0.0.1, +1 (017) 555-7713, a.34@mail7.example.com, 123-45-6789"), (6, "v 4.0, 1234567 units, 2024-13-45"), (6, "v 4.0, 1234567 units, 2024-13-45")]
     frame = spark.createDataFrame([(i, t, 7) for i, t in rows], "doc_id long, text string, n_values int")
