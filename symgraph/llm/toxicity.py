@@ -13,7 +13,7 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
-from math import exp, log
+from math import exp, lgamma, log
 
 import numpy as np
 import pyarrow as pa
@@ -21,14 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from symgraph.llm.common import slices
+from symgraph.llm.common import materialize, slices
 
 #: Labelled rows that the lexicon and the curve are fitted on, about (rows are taken by a hash of their id).
 FIT_ROWS = 20_000
-#: Terms and stems in the lexicon at most: it goes to every task.
-LEXICON = 100
-#: Share of the toxic rows that must have a term: words that only chance or a group of copies ties to the label stay out.
-SUPPORT = 0.01
+#: Toxic rows that a term must have, however many there are.
+LEAST = 3
+#: A term enters if chance alone would tie it to the label so closely with this probability at most.
+CHANCE = 1e-3
 #: Log odds, as a share of the least that any needed term has, from which a term that isn't needed is kept too.
 KEEN = 0.85
 STEM = range(3, 9)
@@ -206,11 +206,28 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([0] * len(part), pa.int64()), pa.array([clean[t] for t in part], pa.int64())], names=["term", "n1", "n0"])
 
 
+def telling(a: int, b: int, n1: int, n0: int) -> tuple[float, float]:
+    """Of a term in a of n1 toxic rows and b of n0 others: its log odds less two standard errors, and the log of the probability that of its rows a or more were toxic by chance."""
+    w = log((a + 0.5) / (n1 + 1)) - log((b + 0.5) / (n0 + 1)) - 2 * (1 / (a + 0.5)) ** 0.5
+    n, q = a + b, n1 / (n1 + n0)
+    if q == 1:
+        return w, 0.0
+    first = lgamma(n + 1) - lgamma(a + 1) - lgamma(b + 1) + a * log(q) + b * log(1 - q)
+    total = part = 1.0
+    for k in range(a + 1, n + 1):
+        part *= (n - k + 1) / k * q / (1 - q)
+        total += part
+        if part < 1e-12 * total:
+            break
+    return w, first + log(total)
+
+
 def choose_terms(rows: Iterable[tuple[str, int, int]], n1: int, n0: int) -> tuple[dict[str, float], frozenset[str]]:
     """Terms (a stem ends in *) whose log odds are high beyond chance. A stem enters only if it reaches far more documents than any word below it and than longer stems."""
     odds = {}
     for term, a, b in rows:
-        if (w := log((a + 0.5) / (n1 + 1)) - log((b + 0.5) / (n0 + 1)) - 2 * (1 / (a + 0.5)) ** 0.5) > 1:
+        w, chance = telling(a, b, n1, n0)
+        if a >= LEAST and w > 1 and chance <= log(CHANCE):
             odds[term] = (w, a, b)
     words = {t: x for t, x in odds.items() if t[-1] != "*"}
     most: dict[str, int] = {}
@@ -218,35 +235,53 @@ def choose_terms(rows: Iterable[tuple[str, int, int]], n1: int, n0: int) -> tupl
         for n in STEM:
             most[t[:n]] = max(most.get(t[:n], 0), a)
     stems = {t[:-1]: x for t, x in odds.items() if t[-1] == "*" and x[1] >= 2 * most.get(t[:-1], 0) and x[2] <= 0.1 * x[1]}
-    longest = {s: x for s, x in stems.items() if not any(o != s and o.startswith(s) and y[1] >= 0.98 * x[1] and y[2] <= x[2] for o, y in stems.items())}
-    shortest = {s: x for s, x in longest.items() if not any(s[:n] in longest for n in range(1, len(s)))}
+    within = {o[:n] for o, y in stems.items() for n in range(1, len(o)) if (x := stems.get(o[:n])) and y[1] >= 0.98 * x[1] and y[2] <= x[2]}
+    longest = stems.keys() - within
+    shortest = {s: stems[s] for s in longest if not any(s[:n] in longest for n in range(1, len(s)))}
     kept = {t: x for t, x in words.items() if not any(t[:n] in shortest for n in range(1, len(t) + 1))} | shortest
-    best = sorted(kept, key=lambda t: (-kept[t][0] * kept[t][1], t))[:LEXICON]
-    return {t: kept[t][0] for t in best}, frozenset(t for t in best if t in shortest)
+    return {t: kept[t][0] for t in sorted(kept)}, frozenset(shortest)
+
+
+def exact_terms(text: str, weights: dict[str, float], stems: frozenset[str]) -> set[str]:
+    """Terms that words of the text are, or begin with, without errors."""
+    words = set(_WORD.findall(text.lower()))
+    return {w for w in words if w in weights and w not in stems} | {w[:n] for w in words for n in STEM if w[:n] in stems}
 
 
-def cover(rows: list[tuple[list[str], list[str], int]], weights: dict[str, float]) -> tuple[dict[str, float], dict[str, float]]:
-    """Of these terms the fewest that explain the toxic rows, greedily, and those with about as high odds; and what a misspelling of each counts.
+def cover(rows: list[tuple[Iterable[str], int]], weights: dict[str, float]) -> dict[str, float]:
+    """Of these terms those that explain toxic rows, the most significant first, and those with about as high odds.
 
-    rows: (terms met, terms met misspelled, label). A term must reach toxic rows that no term before it reaches, or be as
-    telling on its own (KEEN). A misspelling counts less the more clean rows have it.
+    rows: (terms met, label). Each term must be telling among the rows that no term before it reaches, by the same
+    measure and the same fixed count as in choose_terms: words that only stand beside a term, in its rows or in copies
+    of them, aren't.
     """
-    n1 = sum(y for *_, y in rows)
+    met = [(set(terms) & weights.keys(), y) for terms, y in rows]
+    having: dict[str, list[int]] = {}
+    for i, (terms, _) in enumerate(met):
+        for t in terms:
+            having.setdefault(t, []).append(i)
+    left = Counter(y for _, y in met)
+    count = {y: Counter(t for terms, label in met if label == y for t in terms) for y in (0, 1)}
     chosen: dict[str, float] = {}
-    left = [(set(exact) & weights.keys(), y) for exact, _, y in rows]
+    gone: set[int] = set()
     while True:
-        gain: Counter = Counter()
-        for terms, y in left:
-            gain.update({t: 1 if y else -5 for t in terms})
-        best = max(gain, key=lambda t: (gain[t], t), default=None)
-        if best is None or gain[best] < max(2, int(SUPPORT * n1 / 2)):
+        best = None
+        for t, a in count[1].items():
+            if a >= LEAST:
+                w, chance = telling(a, count[0][t], left[1], left[0])
+                if w > 1 and chance <= log(CHANCE) and (best is None or (chance, t) < best):
+                    best = (chance, t)
+        if best is None:
             break
-        chosen[best] = weights[best]
-        left = [(terms, y) for terms, y in left if best not in terms]
+        chosen[best[1]] = weights[best[1]]
+        for i in having[best[1]]:
+            if i not in gone:
+                gone.add(i)
+                terms, y = met[i]
+                left[y] -= 1
+                count[y].subtract(terms)
     keen = KEEN * min(chosen.values(), default=0.0)
-    chosen |= {t: w for t, w in weights.items() if chosen and w >= keen}
-    seen = {y: Counter(t for exact, wrong, label in rows if label == y for t in set(wrong) - set(exact)) for y in (0, 1)}
-    return chosen, {t: MISSPELLED * w * (seen[1][t] + 2) / (seen[1][t] + seen[0][t] + 2) for t, w in chosen.items()}
+    return chosen | {t: w for t, w in weights.items() if chosen and w >= keen}
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -272,25 +307,40 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
         known = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int((1 << 20) * fit_rows / total))
     known = known.groupBy("id").agg(F.max("toxic").alias("toxic"))
     picked = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("text")).join(F.broadcast(known), "id").select("text", "toxic")  # of about fit_rows rows, 16 bytes each
+    picked = materialize(picked, "labelled")
     n = dict(picked.groupBy("toxic").count().collect())
     n1, n0 = n.get(1, 0), n.get(0, 0)
     if not n1 or not n0:
         return Model()
     counts = picked.mapInArrow(_term_counts, "term string, n1 long, n0 long").groupBy("term").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
-    # what choose_terms could take: bounded by the best 50 x LEXICON by support
-    likely = counts.where(f"n1 >= {max(3, int(SUPPORT * n1))} and (n1 + 0.5) / {n1 + 1} > 2.7 * (n0 + 0.5) / {n0 + 1}").orderBy(F.desc("n1"), "n0", "term").limit(50 * LEXICON)
+    # what choose_terms could take: all terms whose odds stand out, of the words of about fit_rows rows
+    likely = counts.where(f"n1 >= {LEAST} and ln((n1 + 0.5) / {n1 + 1}) - ln((n0 + 0.5) / {n0 + 1}) - 2 / sqrt(n1 + 0.5) > 0.999")
     weights, stems = choose_terms([tuple(r) for r in likely.collect()], n1, n0)
-    first = Model(weights, {}, stems).key()
+    names = sorted(weights)
+    number = {t: i for i, t in enumerate(names)}
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hits = [find_hits(t or "", first) for t in batch.column("text").to_pylist()]
-            lists = [pa.array([sorted({h[1] for h in own if (h[2] > 0) == wrong}) for own in hits], pa.list_(pa.string())) for wrong in (False, True)]
-            yield pa.RecordBatch.from_arrays([*lists, batch.column("toxic").cast(pa.int32())], names=["exact", "wrong", "y"])
+            own = [sorted(number[t] for t in exact_terms(x or "", weights, stems)) for x in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.int32())), batch.column("toxic").cast(pa.int32())], names=["terms", "y"])
 
-    met = picked.mapInArrow(meet, "exact array<string>, wrong array<string>, y int").collect()  # LEXICON terms at most for each of about fit_rows rows
-    weights, misspelled = cover([(r.exact, r.wrong, r.y) for r in met], weights)
+    met = picked.mapInArrow(meet, "terms array<int>, y int").collect()  # term numbers for each of about fit_rows rows
+    weights = cover([([names[i] for i in r.terms], r.y) for r in met], weights)
     stems = frozenset(stems & weights.keys())
+    first = Model(weights, {}, stems).key()
+
+    def misspell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen: Counter = Counter()
+            for text, y in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
+                hits = find_hits(text or "", first)
+                seen.update((t, y) for t in {h[1] for h in hits if h[2]} - {h[1] for h in hits if not h[2]})
+            terms, labels = [t for t, _ in seen], [y for _, y in seen]
+            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(labels, pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["term", "y", "n"])
+
+    seen = {(r.term, r.y): r.n for r in picked.mapInArrow(misspell, "term string, y int, n long").groupBy("term", "y").agg(F.sum("n").alias("n")).collect()}
+    # a misspelling counts less the more clean rows have it
+    misspelled = {t: MISSPELLED * w * (seen.get((t, 1), 0) + 2) / (seen.get((t, 1), 0) + seen.get((t, 0), 0) + 2) for t, w in weights.items()}
     key = Model(weights, misspelled, stems).key()
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

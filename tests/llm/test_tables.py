@@ -136,6 +136,18 @@ def test_toxicity_without_labels(labelled):
     assert toxicity.toxicity(docs.limit(0), labels).count() == 0
 
 
+def test_rare_terms_enter(spark):
+    rng = random.Random(7)
+    plain = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(40)]
+    bad = [f"{a}{b}{c}{''.join(rng.choices('mnopqrstu', k=4))}" for a in "mnopq" for b in "mnopq" for c in "mnopq"]  # no common stems, each in under 1% of the toxic rows, more than 100 in all
+    texts = [" ".join([*rng.choices(plain, k=6), t]) for t in bad for _ in range(14)] + [" ".join(rng.choices(plain, k=7)) for _ in range(3500)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 14 * 125)) for i in range(len(texts))], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert set(bad) == set(model.weights)
+    assert all((toxicity.score_text(f"{plain[0]} {t}", model.key()) >= 0.5) == (t in bad) for t in [*bad, *plain])
+
+
 def test_plain_text():
     page = '<!DOCTYPE html><html lang="fr"><head><title>A &amp; B</title><script>x="</p>";</script></head><body><!-- no --><p>One <b>two</b>&nbsp;3 &lt; 4</p><ul><li>x</li><li>y</li></ul><style>p{}</style>end</body></html>'
     assert warc.plain_text(page) == "One two 3 < 4\nx\ny\nend"
