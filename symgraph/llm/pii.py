@@ -168,35 +168,56 @@ def _date(text: str, key: bytes) -> str | None:
     return None
 
 
-#: What is looked for, in this order; a match that doesn't pass its check is left as it is. Case-sensitive, ASCII digits.
+#: More characters than any value has whose check can fail (all but e-mail addresses).
+MOST = 48
+#: What is looked for, in this order: a pattern, what may not follow it, its check. Case-sensitive, ASCII digits.
 KINDS = {
-    "email": (r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", _email),
-    "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])", _iban),
-    "date": (r"(?<![0-9./-])(?:[0-9]{4}(?P<s>[-/.])[0-9]{1,2}(?P=s)[0-9]{1,2}|[0-9]{1,2}(?P<t>[-/.])[0-9]{1,2}(?P=t)[0-9]{4})(?![0-9]|[./-][0-9])", _date),
-    "ipv4": (r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])", _ipv4),
-    "ssn": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])", _ssn),
-    "card": (r"(?<![0-9-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9]|-[0-9])", _card),
-    "phone": (r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,3}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4})(?![0-9]|-[0-9])", _phone),
+    "email": (r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", r"", _email),
+    "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?", r"(?![A-Za-z0-9])", _iban),
+    "date": (r"(?<![0-9./-])(?:[0-9]{4}(?P<s>[-/.])[0-9]{1,2}(?P=s)[0-9]{1,2}|[0-9]{1,2}(?P<t>[-/.])[0-9]{1,2}(?P=t)[0-9]{4})", r"(?![0-9]|[./-][0-9])", _date),
+    "ipv4": (r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}", r"(?![0-9]|\.[0-9])", _ipv4),
+    "ssn": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}", r"(?![0-9]|-[0-9])", _ssn),
+    "card": (r"(?<![0-9-])[0-9](?:[ -]?[0-9]){12,18}", r"(?![0-9]|-[0-9])", _card),
+    "phone": (r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,3}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4})", r"(?![0-9]|-[0-9])", _phone),
 }
 
 
 @lru_cache(maxsize=1)
-def _pattern() -> re.Pattern:
-    return re.compile("|".join(f"(?P<{name}>{pattern})" for name, (pattern, _) in KINDS.items()))
+def _patterns() -> tuple[re.Pattern, dict[str, tuple[re.Pattern, re.Pattern, re.Pattern]]]:
+    """All kinds at once; each kind's own pattern, without and with what may not follow it."""
+    every = "|".join(f"(?P<{name}>{pattern}{after})" for name, (pattern, after, _) in KINDS.items())
+    return re.compile(every), {name: (re.compile(pattern), re.compile(pattern + after), re.compile(after)) for name, (pattern, after, _) in KINDS.items()}
+
+
+def _valid_at(text: str, start: int, key: bytes) -> tuple[str, int, str] | None:
+    """(kind, end, pseudonym) of the first kind with a value there that passes its check: the pattern's own match, or else the longest such value."""
+    for kind, (pattern, bounded, after) in _patterns()[1].items():
+        if not (m := bounded.match(text, start)):
+            continue
+        check = KINDS[kind][2]
+        if (new := check(m[0], key)) is not None:
+            return kind, m.end(), new
+        for end in range(min(len(text), start + MOST), start, -1):
+            if after.match(text, end) and pattern.fullmatch(text, start, end) and (new := check(text[start:end], key)) is not None:
+                return kind, end, new
+    return None
 
 
 def pseudonymize_text(text: str, key: bytes = KEY) -> tuple[str, list[tuple[str, int]]]:
-    """The text with pseudonyms, and (kind, start in the old text) of each replaced value."""
+    """The text with pseudonyms, and (kind, start in the old text) of each replaced value.
+
+    Where a match doesn't pass its check, shorter ones and other kinds are tried at its start, then later starts.
+    """
     found, parts, at = [], [], 0
-    pattern, pos = _pattern(), 0
+    pattern, pos = _patterns()[0], 0
     while m := pattern.search(text, pos):
-        kind = m.lastgroup if m.lastgroup in KINDS else next(k for k in KINDS if m[k] is not None)
-        new = KINDS[kind][1](m[0], key)
-        if new is not None:
-            parts += [text[at : m.start()], new]
-            found.append((kind, m.start()))
-            at = m.end()
-        pos = m.end()
+        if not (hit := _valid_at(text, m.start(), key)):
+            pos = m.start() + 1
+            continue
+        kind, pos, new = hit
+        parts += [text[at : m.start()], new]
+        found.append((kind, m.start()))
+        at = pos
     return ("".join([*parts, text[at:]]) if found else text), found
 
 

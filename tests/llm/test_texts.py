@@ -333,6 +333,22 @@ def test_pseudonyms(docs, spark):
     assert same.columns == docs.columns and pii.pseudonymize(docs.limit(0)).count() == 0
 
 
+def test_values_inside_longer_matches():
+    card, iban = "4111 1111 1111 1111", "ES91 2100 0418 4502 0005 1332"
+    new = pii.pseudonymize_text(f"card {card}.")[0][5:-1]
+    spaced = new.replace(" ", "")
+    for text in ("card {} 12/27", "card {} 1227 x", "20 {}", "ref 4 of {}\n", "1 2 3 {}, 5"):
+        assert pii.pseudonymize_text(text.format(card)) == (text.format(new), [("card", text.index("{"))])
+    for text in ("pay {} 123", "id 77 {}", "a 12345 {}"):
+        assert pii.pseudonymize_text(text.format(card.replace(" ", ""))) == (text.format(spaced), [("card", text.index("{"))])
+    hidden = pii.pseudonymize_text(iban)[0]
+    for text in ("{} BIC", "{} BIC ABCD", "AB12 {}", "IBAN {}."):
+        assert pii.pseudonymize_text(text.format(iban)) == (text.format(hidden), [("iban", text.index("{"))])
+    assert hidden != iban and pii.pseudonymize_text(f"AB12 {card} Z")[0] == f"AB12 {new} Z"
+    assert pii.pseudonymize_text("4111111111111112 123 and 2024-13-45")[1] == []
+    assert pii.pseudonymize_text("4111111111111111" * 2)[1] == []  # no value starts or ends inside a number
+
+
 def test_feistel_is_a_permutation():
     for size in (1, 2, 10, 97, 1000):
         out = [pii.other(i, size, b"k", b"t") for i in range(size)]
