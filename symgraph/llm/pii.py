@@ -168,6 +168,8 @@ def _date(text: str, key: bytes) -> str | None:
     return None
 
 
+#: Every value has one of these: texts without them aren't scanned.
+LOOKS = "[0-9]|@"
 #: More characters than any value has whose check can fail (all but e-mail addresses).
 MOST = 48
 #: What is looked for, in this order: a pattern, what may not follow it, its check. Case-sensitive, ASCII digits.
@@ -234,7 +236,7 @@ def pseudonymize(docs: DataFrame, key: bytes = KEY, text_col: str = "text", keep
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_col):
             column = batch.column(at)
-            looks = pc.fill_null(pc.match_substring_regex(column, "[0-9]{3}|@|[0-9][-/.][0-9]"), False).to_numpy(zero_copy_only=False)
+            looks = pc.fill_null(pc.match_substring_regex(column, LOOKS), False).to_numpy(zero_copy_only=False)
             counts = [0] * len(column)
             if looks.any():
                 texts = column.to_pylist()

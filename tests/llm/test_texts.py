@@ -349,6 +349,15 @@ def test_values_inside_longer_matches():
     assert pii.pseudonymize_text("4111111111111111" * 2)[1] == []  # no value starts or ends inside a number
 
 
+def test_values_without_three_digits_in_a_row(spark):
+    values = ["+49 30 12 34 56", "+33 12 34 56 78", "4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1", "a@b.example"]
+    alone = pii.pseudonym_rows(spark.createDataFrame([(i, f"so {v} it is") for i, v in enumerate(values)], "doc_id long, text string")).collect()
+    beside = pii.pseudonym_rows(spark.createDataFrame([(i, f"so {v} it is, x@y.example") for i, v in enumerate(values)], "doc_id long, text string")).collect()
+    beside = {r.doc_id: r for r in beside}
+    for r in alone:
+        assert r.n_values == 1 and values[r.doc_id] not in r.text and beside[r.doc_id].n_values == 2 and beside[r.doc_id].text.startswith(r.text)
+
+
 def test_feistel_is_a_permutation():
     for size in (1, 2, 10, 97, 1000):
         out = [pii.other(i, size, b"k", b"t") for i in range(size)]
