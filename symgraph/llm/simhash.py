@@ -15,7 +15,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from symgraph.llm.common import LOWER_TABLE, byte_texts, materialize, slices
@@ -26,6 +26,8 @@ FANOUT = 8
 BUCKET_LIMIT = 1_000_000
 #: Node pairs opened at once.
 PAIRS = 400_000
+#: Columns of text_hashes.
+HASHES = ("_h1", "_h2")
 
 _SPREAD = np.array([sum(((b >> k) & 1) << (8 * k) for k in range(8)) for b in range(256)], np.uint64)
 
@@ -215,16 +217,29 @@ def components(edges: DataFrame) -> DataFrame:
         edges = materialize(small.select("e.*").where("u <> v").distinct(), "edges")
 
 
-def fingerprint_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) of each row; fp is the fingerprint as a signed long. Null and blank texts have zero."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+def fingerprint_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_hashes: bool = False) -> DataFrame:
+    """(doc_id, fp) of each row; fp is the fingerprint as a signed long. Null and blank texts have zero. with_hashes adds those of text_hashes."""
+    own = dict(zip(HASHES, text_hashes(F.col(text_col)))) if with_hashes else {}
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *[h.alias(n) for n, h in own.items()])
+    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), *[(n, pa.int64()) for n in own]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2_000_000):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fingerprints(byte_texts(batch.column(1))).view(np.int64))], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fingerprints(byte_texts(batch.column(1))).view(np.int64)), *batch.columns[2:]], schema=schema)
 
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(run, ", ".join(f"{n} long" for n in schema.names))
+
+
+def text_hashes(text: Column) -> tuple[Column, Column]:
+    """Two hashes, 128 bits together, that tell texts of one id apart; a null text has some too."""
+    return F.xxhash64(text), F.xxhash64(F.lit(1), text)
+
+
+def component_roots(prints: DataFrame, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
+    """(fp, root, least) of each distinct fingerprint of (doc_id, fp): its component's smallest fingerprint, and its own smallest doc_id."""
+    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    joined = components(near_links(distinct.select("fp"), bucket_limit))
+    return distinct.join(joined, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
@@ -235,21 +250,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     columns, whatever their names, are ignored.
     """
     prints = materialize(fingerprint_rows(docs, id_col, text_col), "prints")
-    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    joined = components(near_links(distinct.select("fp"), bucket_limit))
-    classes = distinct.join(joined, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    classes = component_roots(prints, bucket_limit)
     least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     ids = classes.join(least, "root").select("fp", "component_id")
     return prints.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each component: that of the smallest id, and of its rows, if the id repeats, one."""
-    found = materialize(near_duplicates(docs, id_col, text_col), "groups")
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n"))
-    rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).cast("long").alias("_id"))
-    rows = rows.join(kept, rows["_id"].eqNullSafe(kept["_id"])).select("_row", rows["_id"], "_n")
+    """docs with one row of each component: that of the smallest id, a null id last.
+
+    An id that is null or stands for several texts doesn't name a row, so rows are told by id and text. Of rows alike in
+    both, one stays.
+    """
+    prints = materialize(fingerprint_rows(docs, id_col, text_col, with_hashes=True), "prints")
+    roots = component_roots(prints).select("fp", "root")
+    alike = prints.groupBy("doc_id", *HASHES, "fp").agg(F.count("*").alias("_n"))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", *HASHES, "_n")
+    first = alike.join(roots, "fp").groupBy("root").agg(F.min(order).alias("first"))
+    kept = first.select(F.col("first.doc_id").alias("_id"), *[F.col(f"first.{n}").alias(n) for n in HASHES], F.col("first._n").alias("_n"))
+    own = [h.alias(n) for n, h in zip(HASHES, text_hashes(F.col(text_col)))]
+    rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).cast("long").alias("_id"), *own).alias("rows")
+    same = F.col("rows._id").eqNullSafe(F.col("kept._id"))
+    for n in HASHES:
+        same &= F.col(f"rows.{n}") == F.col(f"kept.{n}")
+    rows = rows.join(kept.alias("kept"), same).select("_row", "rows._id", *[f"rows.{n}" for n in HASHES], "_n")
     single = rows.where("_n = 1").select("_row.*")
-    again = rows.where("_n > 1")  # only ids that repeat are put side by side
-    first = again.groupBy("_id").agg(F.min_by("_row", F.xxhash64(F.col("_row").cast("string"))).alias("_row"))
-    return single.unionByName(first.select("_row.*"))
+    again = rows.where("_n > 1")  # only rows that repeat are put side by side
+    one = again.groupBy("_id", *HASHES).agg(F.min_by("_row", F.xxhash64(F.col("_row").cast("string"))).alias("_row"))
+    return single.unionByName(one.select("_row.*"))

@@ -193,6 +193,17 @@ def test_drop_near_duplicates(docs, made):
     assert 1 not in kept and 2 not in kept and None not in kept
 
 
+def test_drop_near_duplicates_without_telling_ids(spark):
+    text = lambda i: " ".join(f"w{i}x{n}" for n in range(60))
+    rows = [(None, text(i)) for i in range(5)] + [(None, text(0)), (None, text(1) + " end"), (7, text(10)), (7, text(11)), (7, text(11)), (7, None), (8, text(10)), (9, text(4))]
+    frame = spark.createDataFrame([(i, t, n % 3) for n, (i, t) in enumerate(rows)], "doc_id long, text string, n int")
+    linked = (plain_print(text(1)) ^ plain_print(text(1) + " end")).bit_count() <= 3
+    kept = [(r.doc_id, r.text) for r in simhash.drop_near_duplicates(frame).collect()]
+    assert simhash.drop_near_duplicates(frame).columns == frame.columns
+    assert len(kept) == len(set(kept)) and {(None, text(0)), (None, text(2)), (None, text(3)), (7, text(10)), (7, text(11)), (7, None), (9, text(4))} <= set(kept)
+    assert len(kept) == 8 + (not linked) and {(None, text(1)), (None, text(1) + " end")} & set(kept)
+
+
 def ids_of(text):
     from tokenizers import Tokenizer
 
