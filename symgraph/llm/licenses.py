@@ -21,7 +21,9 @@ from symgraph.llm.common import WORD_TABLE, byte_texts, slices
 
 BLOCK = 64
 #: Share of a template's words that a block must hold.
-CONTAINMENT = 0.9
+CONTAINMENT = 0.8
+#: Words that tell one licence or version from another: a block without one that the template has doesn't hold the template.
+NAMING = frozenset(b"mit apache gnu general lesser mozilla nc noncommercial sa 2 3".split())
 #: Phrases whose words must stand consecutively, and their labels (given by the contract).
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 #: Short notices of well-known licences, and their labels.
@@ -74,11 +76,12 @@ def nested(specs: list[tuple]) -> dict[int, list[int]]:
     return {t: inner for t, (words, *_) in enumerate(specs) if (inner := [u for u, (other, *_) in enumerate(specs) if other < words])}
 
 
-def scan_words(words: list[bytes], by_word: dict[bytes, list[tuple[int, int]]], specs: list[tuple], block: int = BLOCK, inner: dict[int, list[int]] | None = None) -> tuple[list[tuple[int, str]], dict[str, float]]:
+def scan_words(words: list[bytes], by_word: dict[bytes, list[tuple[int, int]]], specs: list[tuple], block: int = BLOCK, inner: dict[int, list[int]] | None = None, naming: frozenset[bytes] = frozenset()) -> tuple[list[tuple[int, str]], dict[str, float]]:
     """Places of phrases as (start, label), in order, and the largest containment of each label whose templates a block meets.
 
     With `inner` (see nested), a template that a block holds only in part gives no label there if the block holds one of
-    another label whole that is nested in it: what it has of the larger template is that smaller one.
+    another label whole that is nested in it: what it has of the larger template is that smaller one. It gives none either
+    if it lacks one of the template's words that are in `naming`.
     """
     step, best, places = block // 2, {}, set()
     blocks = sorted({b for i, w in enumerate(words) if w in by_word for b in (i // step, i // step - 1) if b >= 0})
@@ -95,7 +98,7 @@ def scan_words(words: list[bytes], by_word: dict[bytes, list[tuple[int, int]]],
             if len(held) < need or size - place < need:
                 continue
             have = len(held & specs[t][0])
-            if have < need:
+            if have < need or not naming.isdisjoint(specs[t][0] - held):
                 continue
             phrase = specs[t][3]
             if phrase:
@@ -135,7 +138,7 @@ def license_scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: di
             out = []
             for doc_id, text in zip(batch.column(0).to_pylist(), byte_texts(batch.column(1))):
                 words = text.translate(WORD_TABLE).split()
-                places, best = ([], {}) if by_word.keys().isdisjoint(words) else scan_words(words, by_word, specs, block, inner)
+                places, best = ([], {}) if by_word.keys().isdisjoint(words) else scan_words(words, by_word, specs, block, inner, NAMING)
                 starts = [i for i, _ in places]
                 out.append((doc_id, len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in places})), ",".join(sorted(best)), max(best.values(), default=0.0)))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), RESULT)], schema=RESULT)

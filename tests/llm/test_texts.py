@@ -134,6 +134,14 @@ def test_nested_notices():
     assert labels(gpl) == ["gpl-3"] and labels(gpl.replace("general", "lesser general")) == ["gpl-3", "lgpl-3"]  # the larger notice holds the smaller one's words
 
 
+def test_partial_notices(spark):
+    found = {"licensed under gnu general public license version 3": "gpl-3", "licensed under the apache license 2 0": "apache-2", "licensed under a creative commons noncommercial 4 0 international license": "cc-by-nc", "licensed under gnu lesser general public license version 3": "gpl-3,lgpl-3", "terms of the mozilla public license v 2 0 to": "mpl-2", "licensed cc by sa 4 0": "cc-by-sa"}
+    others = {"licensed under the gnu general public license version 2": "", "licensed under cc by 4 0": "", "released under the bsd license": "", "licensed under the mozilla license version 2 0": "", "licensed under cc by nc 4 0": "cc-by-nc", "licensed under cc by sa 4 0": "cc-by-sa"}
+    want = found | others
+    out = licenses.license_scan(spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")).collect()
+    assert {list(want)[r.doc_id]: r.labels for r in out} == want
+
+
 def plain_print(text):
     w = SPACED.findall((text or "").translate(UP))
     runs = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) > 2 else [" ".join(w)] * bool(w)
