@@ -266,7 +266,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     roots = component_roots(prints).select("fp", "root")
     alike = prints.groupBy("doc_id", *HASHES, "fp").agg(F.count("*").alias("_n"))
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", *HASHES, "_n")
-    first = alike.join(roots, "fp").groupBy("root").agg(F.min(order).alias("first"))
+    first = alike.groupBy("fp").agg(F.min(order).alias("first")).join(roots, "fp").groupBy("root").agg(F.min("first").alias("first"))  # a row of each fingerprint is joined
     kept = first.select(F.col("first.doc_id").alias("_id"), *[F.col(f"first.{n}").alias(n) for n in HASHES], F.col("first._n").alias("_n"))
     own = [h.alias(n) for n, h in zip(HASHES, text_hashes(F.col(text_col)))]
     rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).cast("long").alias("_id"), *own).alias("rows")
