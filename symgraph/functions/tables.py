@@ -4,17 +4,21 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
 _roots: dict[str, str] = {}
+_written: dict[str, list[str]] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder only where that is unset (local runs, tests)."""
+    """spark.checkpoint.dir; a temporary folder only where that is unset and all executors are on this machine (local runs, tests)."""
     app = spark.sparkContext.applicationId
     root = spark.conf.get("spark.checkpoint.dir", None) or _roots.get(app)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = _roots[app] = tempfile.mkdtemp(prefix="symgraph-")
     return f"{root.rstrip('/')}/symgraph-{app}"
 
@@ -22,5 +26,26 @@ def shared_root(spark: SparkSession) -> str:
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df and read it back: iterative operators cut their lineage with it, and lost executors cost no recomputation."""
     path = f"{shared_root(df.sparkSession)}/{tag}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    _written.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def mark(spark: SparkSession) -> int:
+    """A place in the list of tables written so far, for release."""
+    return len(_written.get(spark.sparkContext.applicationId, []))
+
+
+def release(spark: SparkSession, since: int = 0, keep: Iterable[DataFrame] = ()) -> None:
+    """Delete the tables written since `mark` gave that place, but those that `keep` is read from: for callers that have written their result."""
+    paths = _written.get(spark.sparkContext.applicationId, [])
+    used = [f for df in keep for f in df.inputFiles()]
+    for path in paths[since:]:
+        if not any(path in f for f in used):
+            delete(spark, path)
+            paths.remove(path)
