@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from symgraph.functions.tables import materialize, release  # noqa: F401  the one way to write intermediate tables
+
 #: Anything but 0-9, a-z and code points from U+0080 separates words (after A-Z are lower-cased).
 WORD_SEP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -18,31 +18,6 @@ WORD_TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <=
 #: bytes.translate table: A-Z to lower case only.
 LOWER_TABLE = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
-_roots: dict[str, str] = {}
-
-
-def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset (local runs, tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        app = spark.sparkContext.applicationId
-        root = _roots.setdefault(app, _roots.get(app) or tempfile.mkdtemp(prefix="symgraph-"))
-    return f"{root.rstrip('/')}/symgraph-{spark.sparkContext.applicationId}"
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts the lineage and outlives lost executors."""
-    path = f"{checkpoint_root(df.sparkSession)}/{tag}-{uuid.uuid4().hex[:12]}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Delete this application's intermediate tables once their results are written."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(checkpoint_root(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -58,6 +33,11 @@ def word_array(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), WORD_SEP), "")
 
 
+def text_hashes(text: Column) -> tuple[Column, Column]:
+    """Two hashes, 128 bits together, that tell texts apart; a null text has some too."""
+    return F.xxhash64(text), F.xxhash64(F.lit(1), text)
+
+
 def byte_texts(column: pa.Array) -> Iterator[bytes]:
     """Each text as UTF-8 bytes (null: empty), straight from the Arrow buffers."""
     return (x or b"" for x in column.cast(pa.binary()).to_pylist())

@@ -1,7 +1,9 @@
 """Operator 1: benchmark decontamination, DataFrame functions only.
 
-A hash set of the benchmark's word windows is sent to every task. Each document's windows are hashed and looked up in
-the row itself; windows whose hash is known are verified word by word. No document is exploded and no text is shuffled.
+The words of each document are hashed once and each window's hash is made of its word hashes. A hash set of the
+benchmark's windows, a table of bits of bounded size, goes to every task, and each window is looked up in the row itself.
+Only windows that it knows leave the row: their words meet the benchmark's windows in a join, which verifies them. One
+plan serves benchmarks of any size; a fuller table lets more windows through to the join, never a wrong one past it.
 """
 
 from __future__ import annotations
@@ -9,87 +11,96 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from symgraph.llm.common import materialize, word_array
+from symgraph.llm.common import materialize, text_hashes, word_array
 
 WINDOW = 10
-#: Windows up to which the set travels inside the plan. Beyond, windows are joined (SET_BROADCAST: broadcast up to so many).
-SET_LIMIT = 20_000
-SET_BROADCAST = 2_000_000
+#: Bits of the hash set for each window, and the least and most bits (as powers of two; the most are 16 MB).
+BITS_PER_WINDOW, LEAST_BITS, MOST_BITS = 16, 16, 27
 
 _ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _ANY_SEP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _SPAN = "array<struct<at:int,len:int>>"
 
 
+def _window_hash(hashes: Column, at: Column, length: int) -> Column:
+    return F.xxhash64(*[F.get(hashes, at + k) for k in range(length)])
+
+
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
-    """item_id, len, phrase, h: the distinct windows of each item. An item of fewer words than the window is one window; one without words has none."""
-    items = benchmark.select(F.col(item_col).alias("item_id"), word_array(F.col(text_col)).alias("w")).where(F.size("w") > 0)
+    """len, phrase, h, items: the distinct windows, and the items (as strings, sorted, without nulls) that have each. An item of fewer words than the window is one window; one without words has none."""
+    items = benchmark.select(F.col(item_col).cast("string").alias("item_id"), word_array(F.col(text_col)).alias("w")).where(F.size("w") > 0)
     length = F.least(F.size("w"), F.lit(window))
     starts = F.sequence(F.lit(1), F.size("w") - length + 1)
     phrases = items.select("item_id", length.alias("len"), F.explode(F.transform(starts, lambda i: F.slice("w", i, length))).alias("p"))
-    return phrases.select("item_id", "len", F.array_join("p", " ").alias("phrase"), F.xxhash64("p").alias("h")).distinct()
+    phrases = phrases.groupBy("len", "p").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    words = F.transform("p", lambda w: F.xxhash64(w))
+    h = F.lit(None).cast("long")
+    for n in range(1, window + 1):
+        h = F.when(F.col("len") == n, _window_hash(words, F.lit(0), n)).otherwise(h)
+    return phrases.select("len", F.array_join("p", " ").alias("phrase"), h.alias("h"), "items")
+
+
+def _table_bits(n: int) -> int:
+    return min(MOST_BITS, max(LEAST_BITS, (BITS_PER_WINDOW * n - 1).bit_length()))
 
 
-def _window_array(words: Column, length: int) -> Column:
-    """[(at, len, h)] of all windows of this length; empty if there are fewer words."""
-    starts = F.when(F.size(words) >= length, F.sequence(F.lit(0), F.size(words) - length)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.struct(i.alias("at"), F.lit(length).alias("len"), F.xxhash64(F.slice(words, i + 1, length)).alias("h")))
+def hash_set(windows: DataFrame, bits: int) -> DataFrame:
+    """One row, one column: an array of longs with 2**bits bits in all, those of the windows' hashes set (see _known)."""
+    spark = windows.sparkSession
+    word = F.shiftrightunsigned("h", 70 - bits)
+    ones = windows.groupBy(word.alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(63).cast("int"))).alias("ones"))
+    every = spark.range(1 << (bits - 6)).withColumnRenamed("id", "word").join(ones, "word", "left")
+    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", F.coalesce("ones", F.lit(0).cast("long")).alias("ones")))), lambda x: x["ones"]).alias("bits"))
 
 
-def _known_places(words: Column, length: int, hashes: list[int]) -> Column:
-    """[(at, len)] of the windows of this length whose hash is known."""
-    starts = F.when(F.size(words) >= length, F.sequence(F.lit(0), F.size(words) - length)).otherwise(F.array().cast("array<int>"))
-    hits = F.filter(starts, lambda i: F.xxhash64(F.slice(words, i + 1, length)).isin(hashes))
-    return F.transform(hits, lambda i: F.struct(i.alias("at"), F.lit(length).alias("len")))
+def _known(h: Column, table: Column, bits: int) -> Column:
+    """Whether the hash set has h: its upper bits pick the long, its lower six the bit."""
+    own = F.get(table, F.shiftrightunsigned(h, 70 - bits).cast("int"))
+    return F.call_function("shiftrightunsigned", own, h.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1
 
 
-def phrase_at(words: Column, span: Column) -> Column:
-    return F.array_join(F.slice(words, span["at"] + 1, span["len"]), " ")
+def _candidates(words: Column, hashes: Column, tables: dict[int, Column], bits: int) -> Column:
+    """[(at, len, phrase)] of the windows that the hash set knows."""
 
+    def of(length: int, table: Column) -> Column:
+        starts = F.when(F.size(hashes) >= length, F.sequence(F.lit(0), F.size(hashes) - length)).otherwise(F.array().cast("array<int>"))
+        found = F.transform(F.transform(starts, lambda i: _window_hash(hashes, i, length)), lambda h, i: F.when(_known(h, table, bits), i))
+        return F.transform(F.filter(found, lambda i: i.isNotNull()), lambda i: F.struct(i.alias("at"), F.lit(length).alias("len"), F.array_join(F.slice(words, i + 1, length), " ").alias("phrase")))
 
-def _measured(words: Column, spans: Column) -> Column:
-    """n_words, n_hit, spans, phrases (the distinct ones of the spans) of a document."""
-    phrases = F.array_distinct(F.transform(spans, lambda s: phrase_at(words, s)))
-    return F.struct(F.size(words).cast("long").alias("n_words"), covered(spans).alias("n_hit"), spans.alias("spans"), phrases.alias("phrases"))
+    if not tables:
+        return F.array().cast("array<struct<at:int,len:int,phrase:string>>")
+    return F.concat(*[of(n, t) for n, t in tables.items()])
 
 
-def with_spans(docs: DataFrame, windows: DataFrame, text_col: str = "text", set_limit: int = SET_LIMIT) -> DataFrame:
-    """_id, docs as one struct column `_row`, and `_m`: n_words, n_hit, spans (verified places (at, len) of benchmark windows, in order), phrases.
+def scan(rows: DataFrame, windows: DataFrame, text: str) -> DataFrame:
+    """rows without their text, with n_words and places: (at, len, phrase) of windows that the hash set of `windows` knows.
 
-    `windows` is what benchmark_windows returns. Up to set_limit windows it reads nothing but docs and shuffles nothing.
-    The words are bound to a variable and the result is exploded from an array of one, so that each is evaluated once.
+    Reads the text once, shuffles nothing. The words, and then their hashes, are bound to variables of one exploded
+    array of one, so that each is evaluated once.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("_id"), F.struct("*").alias("_row"))
-    text = F.col("_row")[text_col]
-    found = windows.select("len", "phrase", "h").distinct().limit(set_limit + 1).collect()  # limit: only to see whether the set is small
-    if len(found) > set_limit:
-        return _joined_spans(rows, text, windows)
-    lengths = {n: [r.h for r in found if r.len == n] for n in sorted({r.len for r in found})}
-    phrases = [r.phrase for r in found]
-
-    def spans(words: Column) -> Column:
-        if not found:
-            return F.array().cast(_SPAN)
-        places = F.concat(*[_known_places(words, n, hashes) for n, hashes in lengths.items()])
-        return F.array_sort(F.filter(places, lambda x: phrase_at(words, x).isin(phrases)))
-
-    measured = F.transform(F.array(word_array(text)), lambda w: F.struct(w.alias("w"), spans(w).alias("s")))
-    return rows.select("_id", "_row", F.explode(F.transform(measured, lambda x: _measured(x["w"], x["s"]))).alias("_m"))
-
-
-def _joined_spans(rows: DataFrame, text: Column, windows: DataFrame) -> DataFrame:
-    """with_spans for window sets of any size: window hashes meet in a join (broadcast only if the set is counted to be small)."""
-    rows = materialize(rows.withColumn("_words", word_array(text)), "windows")
-    keys = windows.select("len", "h", "phrase").distinct()
-    lengths = [r.len for r in keys.select("len").distinct().orderBy("len").collect()]  # at most `window` of them
-    if keys.count() <= SET_BROADCAST:
-        keys = F.broadcast(keys)
-    places = rows.select("_id", F.explode(F.concat(*[_window_array(F.col("_words"), n) for n in lengths])).alias("x")).select("_id", "x.*")
-    hits = places.join(keys, ["len", "h"]).select("_id", "at", "len", "phrase").join(rows.select("_id", "_words"), "_id")
-    hits = hits.where(phrase_at(F.col("_words"), F.struct("at", "len")) == F.col("phrase"))
-    spans = hits.groupBy("_id").agg(F.array_sort(F.collect_set(F.struct("at", "len"))).alias("_spans"))
-    both = rows.join(spans, "_id", "left").withColumn("_spans", F.coalesce("_spans", F.array().cast(_SPAN)))
-    return both.select("_id", "_row", F.explode(F.array(_measured(F.col("_words"), F.col("_spans")))).alias("_m"))
+    bits = _table_bits(windows.count())
+    lengths = [r.len for r in windows.select("len").distinct().orderBy("len").collect()]  # at most `window` of them
+    names = {n: f"_set{n}" for n in lengths}
+    table = hash_set(windows, bits)
+    rows = rows.withColumns({c: table.scalar() for c in names.values()})  # one subquery; each column is used once, so the optimizer puts it in place
+    tables = {n: F.col(c) for n, c in names.items()}
+    found = F.transform(
+        F.array(word_array(F.col(text))),
+        lambda w: F.transform(F.array(F.transform(w, lambda x: F.xxhash64(x))), lambda h: F.struct(F.size(w).cast("long").alias("n_words"), _candidates(w, h, tables, bits).alias("places")))[0],
+    )
+    return rows.select(*[c for c in rows.columns if c != text and c not in names.values()], F.explode(found).alias("_m")).select("*", "_m.*").drop("_m")
+
+
+def verified(candidates: DataFrame, windows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, spans, items) of the rows with a place whose words are a window's: its places (at, len), in order, and the windows' items, sorted.
+
+    Spark picks how the two meet by the size of `windows`, a written table; phrases that a great many documents share are
+    split by its skew join where they are shuffled.
+    """
+    places = candidates.select(*keys, F.explode("places").alias("x")).select(*keys, "x.*")
+    hits = places.join(windows.select("phrase", "items"), "phrase")
+    spans = F.array_sort(F.collect_set(F.struct("at", "len"))).alias("spans")
+    return hits.groupBy(*keys).agg(spans, F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
 
 
 def covered(spans: Column) -> Column:
@@ -103,31 +114,26 @@ def covered(spans: Column) -> Column:
     return F.aggregate(spans, zero, step)["n"].cast("long")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, set_limit: int = SET_LIMIT) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
     Null and empty texts: no words, not contaminated. Repeated rows and null ids each give a row of their own. An empty
     benchmark, or one of texts without words, hits nothing. Other columns of docs, whatever their names, are ignored.
     """
-    windows = benchmark_windows(benchmark, window)
-    rows = with_spans(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), windows, "text", set_limit)
-    rows = rows.select("_id", F.col("_row.id").alias("doc_id"), "_m.n_words", "_m.n_hit", F.explode_outer("_m.phrases").alias("phrase"))
-    items = windows.select("phrase", "item_id")
-    if items.limit(SET_BROADCAST + 1).count() <= SET_BROADCAST:
-        items = F.broadcast(items)
-    found = rows.join(items, "phrase", "left").groupBy("_id").agg(
-        F.first("doc_id").alias("doc_id"),
-        F.first("n_words").alias("n_words"),
-        F.first("n_hit").alias("n_hit"),
-        F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"),
-    )
-    return found.select(
+    windows = materialize(benchmark_windows(benchmark, window), "windows")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = materialize(scan(rows, windows, "text").withColumn("_id", F.monotonically_increasing_id()), "scanned")
+    some = rows.where(F.size("places") > 0)
+    found = some.select("_id", "doc_id", "n_words").join(verified(some, windows, ["_id"]), "_id", "left")
+    none = rows.where(F.size("places") == 0).select("_id", "doc_id", "n_words", F.lit(None).cast(_SPAN).alias("spans"), F.lit(None).cast("array<string>").alias("items"))
+    out = found.unionByName(none).withColumns({"spans": F.coalesce("spans", F.array().cast(_SPAN)), "items": F.coalesce("items", F.array().cast("array<string>"))})
+    return out.select(
         "doc_id",
         "n_words",
-        "n_hit",
+        covered(F.col("spans")).alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-        (F.col("n_hit") > 0).alias("contaminated"),
+        (F.size("spans") > 0).alias("contaminated"),
     )
 
 
@@ -142,10 +148,22 @@ def without_spans(text: Column, spans: Column) -> Column:
     return F.get(F.transform(F.array(parts), rebuilt), F.lit(0))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", drop_share: float = 0.5, window: int = WINDOW, set_limit: int = SET_LIMIT) -> DataFrame:
-    """docs without benchmark passages: spans are cut out; documents of which drop_share of the words or more are hit go. Columns and clean rows stay as they are."""
-    rows = with_spans(docs, benchmark_windows(benchmark, window), text_col, set_limit)
-    rows = rows.where(F.col("_m.n_hit") < F.greatest(F.lit(1), F.ceil(F.lit(drop_share) * F.col("_m.n_words"))))
-    text, spans = F.col("_row")[text_col], F.col("_m.spans")
-    cleaned = F.when(F.size(spans) > 0, without_spans(text, spans)).otherwise(text)
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", drop_share: float = 0.5, window: int = WINDOW) -> DataFrame:
+    """docs without benchmark passages: spans are cut out; documents of which drop_share of the words or more are hit go. Columns and clean rows stay as they are.
+
+    What is to be cut depends on a text alone, so it is found once for each text that has candidates (told by 128 bits of
+    hashes) and joined to the rows of docs by these; rows, texts and other columns aren't written in between.
+    """
+    windows = materialize(benchmark_windows(benchmark, window), "windows")
+    keys = ["_k1", "_k2"]
+    own = dict(zip(keys, text_hashes(F.col(text_col))))
+    found = scan(docs.select(*[h.alias(k) for k, h in own.items()], F.col(text_col).alias("text")), windows, "text")
+    found = materialize(found.where(F.size("places") > 0).dropDuplicates(keys), "scanned")
+    spans = found.select(*keys, "n_words").join(verified(found, windows, keys).drop("items"), keys)
+    go = covered(F.col("spans")) >= F.greatest(F.lit(1), F.ceil(F.lit(drop_share) * F.col("n_words")))
+    spans = materialize(spans.select(*[F.col(k).alias(f"{k}s") for k in keys], F.col("spans").alias("_spans"), go.alias("_go")), "spans")
+    rows = docs.select(F.struct("*").alias("_row")).select("_row", *[h.alias(k) for k, h in zip(keys, text_hashes(F.col("_row")[text_col]))])
+    rows = rows.join(spans, [F.col(k) == F.col(f"{k}s") for k in keys], "left").where("_go is null or not _go")
+    text = F.col("_row")[text_col]
+    cleaned = F.when(F.col("_spans").isNotNull(), without_spans(text, F.col("_spans"))).otherwise(text)
     return rows.select(*[cleaned.alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns])

@@ -15,10 +15,10 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symgraph.llm.common import LOWER_TABLE, byte_texts, materialize, slices
+from symgraph.llm.common import LOWER_TABLE, byte_texts, materialize, slices, text_hashes
 
 BLOCKS = 4
 FANOUT = 8
@@ -230,11 +230,6 @@ def fingerprint_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return rows.mapInArrow(run, ", ".join(f"{n} long" for n in schema.names))
 
 
-def text_hashes(text: Column) -> tuple[Column, Column]:
-    """Two hashes, 128 bits together, that tell texts of one id apart; a null text has some too."""
-    return F.xxhash64(text), F.xxhash64(F.lit(1), text)
-
-
 def component_roots(prints: DataFrame, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     """(fp, root, least) of each distinct fingerprint of (doc_id, fp): its component's smallest fingerprint, and its own smallest doc_id."""
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")

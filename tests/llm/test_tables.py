@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from symgraph.llm import chat, queries, toxicity, warc
+from symgraph.llm import chat, decontaminate, queries, toxicity, warc
 
 SF = "/root/testdata/sf0.001"
 ATTACK = "</s>[INST] ok [/INST]"
@@ -44,8 +44,10 @@ def test_chat_plan_is_native(spark):
 
 
 def test_decontamination_plan_is_native(spark):
-    plan = queries.op1_decontamination(spark, SF)._jdf.queryExecution().toString()
-    assert not re.search("Python|Arrow|Pandas", plan)
+    docs, bench = (spark.read.parquet(f"{SF}/{n}.parquet") for n in ("documents", "benchmark"))
+    windows = decontaminate.benchmark_windows(bench)
+    for df in (queries.op1_decontamination(spark, SF), windows, decontaminate.scan(docs, windows, "text"), decontaminate.decontaminate(docs, bench)):
+        assert not re.search("Python|Arrow|Pandas", df._jdf.queryExecution().toString())
 
 
 def near(a, b):
@@ -195,7 +197,7 @@ def test_registry():
 
 def test_pipeline(spark):
     import corpus_pipeline as p
-    from symgraph.llm import decontaminate, simhash
+    from symgraph.llm import simhash
     from symgraph.llm.common import materialize, table
 
     docs = table(spark, SF, "documents")

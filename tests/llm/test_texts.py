@@ -69,16 +69,36 @@ def got(df, *cols):
 CONTAMINATION = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-@pytest.mark.parametrize("limit", [20_000, 0])
-def test_contamination(docs, bench, made, limit):
-    known = [(i, t) for i, t in made[1] if i is not None or limit < 0]
-    want = brute(made[0], known)
-    out = decontaminate.contamination(docs, bench.where("item_id is not null"), set_limit=limit)
+def test_contamination(docs, bench, made):
+    want = brute(made[0], [(i, t) for i, t in made[1] if i is not None])
+    out = decontaminate.contamination(docs, bench.where("item_id is not null"))
     assert got(out, *CONTAMINATION) == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("most", [8, 27])
+def test_contamination_with_a_full_hash_set(docs, bench, made, most, monkeypatch):
+    """A set so full that it lets nearly every window through gives the same rows."""
+    monkeypatch.setattr(decontaminate, "MOST_BITS", most)
+    monkeypatch.setattr(decontaminate, "LEAST_BITS", min(most, decontaminate.LEAST_BITS))
+    want = brute(made[0], [(i, t) for i, t in made[1] if i is not None])
+    assert got(decontaminate.contamination(docs, bench.where("item_id is not null")), *CONTAMINATION) == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("n", [1_000, 20_000, 200_000])
+def test_contamination_by_benchmark_size(spark, n):
+    """Items of ten words, one window each; every thousandth document holds one of them and nothing else of the benchmark."""
+    word = lambda i, k: F.concat(F.lit("w"), F.pmod(F.xxhash64(i, F.lit(k)), F.lit(5000)))
+    passage = lambda i: F.concat_ws(" ", *[word(i, k) for k in range(10)])
+    items = spark.range(n).select(F.col("id").alias("item_id"), passage(F.col("id")).alias("text"))
+    own = F.concat_ws(" ", *[word(F.col("id"), k) for k in range(100, 120)])
+    rows = spark.range(3_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 1000 == 1, F.concat_ws(" ", own, passage(F.col("id")), own)).otherwise(own).alias("text"))
+    out = {r.doc_id: (r.n_hit, r.n_items) for r in decontaminate.contamination(rows, items).where("contaminated").collect()}
+    assert out == {i: (10, 1) for i in range(1, 3_000, 1000) if i < n}
+
+
 def test_contamination_empty(docs, bench):
     assert decontaminate.contamination(docs.limit(0), bench).count() == 0
+    assert decontaminate.decontaminate(docs.limit(0), bench).count() == 0 and decontaminate.decontaminate(docs, bench.limit(0)).count() == docs.count()
     assert decontaminate.contamination(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
