@@ -136,3 +136,16 @@ def chat_digests(chats: DataFrame, template: Template = TEMPLATE) -> DataFrame:
         F.length("formatted").cast("long").alias("formatted_chars"),
         "valid",
     )
+
+
+def oracle_sql(conversations: str, template: Template = TEMPLATE) -> str:
+    """chat_digests of format_chats in DuckDB's SQL, over a table expression with conv_id, turn, role and text. The formatted string isn't built: its length follows from what the template and the escapes add."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    added = lambda x: " + ".join(f"(length({x}) - length(replace({x}, {quoted(c)}, ''))) // {len(c)}" for c in ("\\", *template.control))
+    marks = " ".join(f"WHEN {quoted(name)} THEN {len(t.before) + len(t.after)}" for name, t in template.roles)
+    other = f"{len(template.other.before) + len(template.other.after) + len(template.named)} + length(role) + {added('role')}"
+    loss = ", ".join(quoted(name) for name, t in template.roles if t.loss)
+    return f"""WITH t AS (SELECT conv_id, turn, COALESCE(role, '') AS role, COALESCE(text, '') AS text FROM {conversations}),
+c AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS said, COALESCE(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role IN ({loss})), '') AS loss,
+  CAST(sum(length(text) + {added('text')} + CASE role {marks} ELSE {other} END) AS BIGINT) AS formatted_chars, string_agg(CASE role WHEN 'system' THEN 's' WHEN 'user' THEN 'u' WHEN 'assistant' THEN 'a' ELSE 'o' END, '' ORDER BY turn NULLS FIRST, role, text) AS code FROM t GROUP BY 1)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars, regexp_full_match(code, 's?(ua)+') AS valid FROM c"""

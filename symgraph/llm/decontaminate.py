@@ -167,3 +167,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     text = F.col("_row")[text_col]
     cleaned = F.when(F.col("_spans").isNotNull(), without_spans(text, F.col("_spans"))).otherwise(text)
     return rows.select(*[cleaned.alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns])
+
+
+def oracle_sql(window: int = WINDOW) -> str:
+    """contamination in DuckDB's SQL."""
+    words = lambda text: f"regexp_extract_all(translate(COALESCE({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {words('text')} AS w FROM documents), b AS (SELECT item_id, {words('text')} AS w, least(len(w), {window}) AS n FROM benchmark),
+win AS (SELECT DISTINCT item_id, n, w[i:i + n - 1] AS p FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM b WHERE n > 0)),
+seen AS (SELECT rid, i, n, w[i:i + n - 1] AS p FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM win) WHERE len(w) >= n)),
+hit AS (SELECT rid, i, n, item_id FROM seen JOIN win USING (p, n)),
+cov AS (SELECT rid, count(DISTINCT k) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS k FROM hit) GROUP BY 1),
+its AS (SELECT rid, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS s FROM hit GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, COALESCE(n_hit, 0) AS n_hit, COALESCE(n_items, 0) AS n_items, sha256(COALESCE(s, '')) AS items_sha256, COALESCE(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN cov USING (rid) LEFT JOIN its USING (rid)"""

@@ -1,16 +1,22 @@
 """Operator 2: licence scan as an exact set-similarity join.
 
-Templates and text blocks are sets of words. Words are ordered by how many documents have them (rarest first, over the
-whole corpus). A block can hold `need` words of a template only if it has one of the template's rarest
-size - need + 1 words (prefix filter), has at least `need` words (length filter), and if enough of the template is left
-after the first word that it has (positional filter). What passes is counted exactly. Blocks are windows that overlap by
-half, so any notice of up to half a window lies whole in one of them.
+Templates and text blocks are sets of words; a block meets a template if it holds a given share of its words. All words
+of the templates have one order, rarest first by how often the whole corpus has them, and both sides are sorted by it.
+If a block holds `need` words of a template, the first word they share is among the template's first size - need + 1 and
+among the block's first size - need + 1 (prefix filter, both sides), the block has at least `need` words (length filter),
+and at each shared word of the prefixes what is shared so far and what either side has left make up `need` (positional
+filter). What passes is counted exactly.
+
+Blocks are windows that overlap by half. A template of up to half a window lies whole in one of them, so each template
+has windows of a length that follows from its own. Documents stream past an index of the templates' prefixes, which goes
+to every task; nothing of a document is shuffled.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from math import ceil
 
 import pyarrow as pa
@@ -18,129 +24,220 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from symgraph.llm.common import WORD_TABLE, byte_texts, slices
+from symgraph.llm.license_texts import NOTICES, TEXTS
 
+#: Words of the shortest blocks.
 BLOCK = 64
 #: Share of a template's words that a block must hold.
 CONTAINMENT = 0.8
-#: Words that tell one licence or version from another: a block without one that the template has doesn't hold the template.
-NAMING = frozenset(b"mit apache gnu general lesser mozilla nc noncommercial sa 2 3".split())
+#: Words that tell one licence or version from another: a block without one that the template has gives no label.
+NAMING = frozenset("mit apache gnu general lesser mozilla nc noncommercial sa 2 3".split())
 #: Phrases whose words must stand consecutively, and their labels (given by the contract).
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-#: Short notices of well-known licences, and their labels.
-NOTICES = {
-    "released under the mit license": "mit",
-    "licensed under the apache license version 2 0": "apache-2",
-    "licensed under the gnu general public license version 3": "gpl-3",
-    "licensed under the gnu lesser general public license version 3": "lgpl-3",
-    "licensed under cc by nc 4 0": "cc-by-nc",
-    "licensed under a creative commons attribution noncommercial 4 0 international license": "cc-by-nc",
-    "licensed under cc by sa 4 0": "cc-by-sa",
-    "subject to the terms of the mozilla public license v 2 0": "mpl-2",
-    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files": "mit",
-    "redistribution and use in source and binary forms with or without modification are permitted provided that": "bsd",
-}
-
-
-def templates(phrases: dict[str, str], notices: dict[str, str], containment: float) -> list[tuple[frozenset[bytes], int, str, tuple[bytes, ...] | None]]:
-    """(words, how many a block must hold, label, the phrase if its words must stand together)."""
-    out = [(frozenset(p.encode().split()), len(set(p.split())), label, tuple(p.encode().split())) for p, label in phrases.items()]
-    for text, label in notices.items():
-        words = frozenset(text.encode().split())
-        out.append((words, ceil(containment * len(words)), label, None))
+TEMPLATES = NOTICES + TEXTS
+
+
+def words_of(text: str) -> list[str]:
+    return text.encode().translate(WORD_TABLE).decode().split()
+
+
+@dataclass(frozen=True)
+class Spec:
+    """A template: its words (distinct), how many of them a block must hold, its label, the naming words, the words of its blocks, and the phrase if its words must stand together."""
+
+    words: frozenset[str]
+    need: int
+    label: str
+    naming: frozenset[str]
+    block: int
+    phrase: tuple[str, ...] | None = None
+
+
+def specs_of(phrases: dict[str, str] = PHRASES, templates: list[tuple[str, str]] = TEMPLATES, containment: float = CONTAINMENT, naming: frozenset[str] = NAMING, block: int = BLOCK) -> list[Spec]:
+    """All templates; a template of n words (repeats included) has blocks of the first power of two times `block` that is 2 n or more."""
+    size = lambda n: block << max(0, (ceil(2 * n / block) - 1).bit_length())
+    out = [Spec(frozenset(w := p.split()), len(set(w)), label, frozenset(), size(len(w)), tuple(w)) for p, label in phrases.items()]
+    for label, text in templates:
+        w = words_of(text)
+        out.append(Spec(frozenset(w), ceil(round(containment * len(set(w)), 6)), label, naming & set(w), size(len(w))))
     return out
 
 
+class Index:
+    """Prefix index of the templates under a global order of words; see the module's docstring.
+
+    `stats` counts pairs of block and template: "prefix" share a word of both prefixes, of these "short" fail the length
+    filter and "placed" the positional one, "counted" are counted exactly, and "met" meet the threshold.
+    """
+
+    def __init__(self, specs: list[Spec], counts: dict[str, int]):
+        self.specs = specs
+        order = sorted(frozenset().union(*(s.words for s in specs)), key=lambda w: (counts.get(w, 0), w)) if specs else []
+        self.rank = {w.encode(): r for r, w in enumerate(order)}
+        rank = {w: r for r, w in enumerate(order)}
+        self.sets = [frozenset(rank[w] for w in s.words) for s in specs]
+        self.named = [frozenset(rank[w] for w in s.naming) for s in specs]
+        self.classes = []  # per block length: its words, prefix index, least need
+        for block in sorted({s.block for s in specs}):
+            own = [t for t, s in enumerate(specs) if s.block == block]
+            first: dict[int, list[tuple[int, int]]] = {}
+            for t in own:
+                for place, r in enumerate(sorted(self.sets[t])[: len(self.sets[t]) - specs[t].need + 1]):
+                    first.setdefault(r, []).append((t, place))
+            self.classes.append((block, frozenset().union(*(self.sets[t] for t in own)), first, min(specs[t].need for t in own)))
+        self.prefix_words = frozenset(w for w, r in self.rank.items() if any(r in c[2] for c in self.classes))
+        self.stats: Counter = Counter()
+
+    def join(self, words: list[bytes]) -> Iterator[tuple[int, int, int]]:
+        """(template, first word of the block, words that the block holds of it) of every pair that meets the threshold."""
+        if self.prefix_words.isdisjoint(words):
+            return
+        ranks = [self.rank.get(w, -1) for w in words]
+        for block, vocabulary, first, least in self.classes:
+            step = block // 2
+            for b in sorted({x for i, r in enumerate(ranks) if r in first for x in (i // step, i // step - 1) if x >= 0}):
+                own = sorted(vocabulary.intersection(ranks[b * step : b * step + block]))
+                shared: dict[int, int] = {}  # words shared so far; -1: can't reach the threshold
+                for place, r in enumerate(own):
+                    left = len(own) - place
+                    if left < least:  # the block's own prefix ends: what is left can't fill any template
+                        break
+                    for t, at in first.get(r, ()):
+                        have = shared.get(t)
+                        if have is None:
+                            self.stats["prefix"] += 1
+                            have = 0 if len(own) >= self.specs[t].need else -1
+                            self.stats["short"] += have < 0
+                        if have >= 0 and have + min(left, len(self.sets[t]) - at) < self.specs[t].need:
+                            self.stats["placed"] += 1
+                            have = -1
+                        shared[t] = have + 1 if have >= 0 else -1
+                for t, some in shared.items():
+                    if some > 0:
+                        self.stats["counted"] += 1
+                        have = len(self.sets[t].intersection(own))
+                        if have >= self.specs[t].need:
+                            self.stats["met"] += 1
+                            yield t, b * step, have
+
+    def places(self, words: list[bytes], t: int, start: int) -> list[int]:
+        """Where a phrase's words stand consecutively inside a block."""
+        phrase = tuple(w.encode() for w in self.specs[t].phrase)
+        own = words[start : start + self.specs[t].block]
+        return [start + i for i in range(len(own) - len(phrase) + 1) if own[i] == phrase[0] and tuple(own[i : i + len(phrase)]) == phrase]
+
+    def named_in(self, words: list[bytes], t: int, start: int) -> bool:
+        """Whether a block has all naming words of a template."""
+        return not self.named[t] or self.named[t].issubset(self.rank.get(w, -1) for w in words[start : start + self.specs[t].block])
+
+    def document(self, words: list[bytes]) -> tuple[list[tuple[int, str]], dict[str, float], int]:
+        """Base places (start, label), in order; the largest containment of each label; how many pairs of block and template met the threshold."""
+        places: set[tuple[int, str]] = set()
+        best: dict[str, float] = {}
+        met = 0
+        for t, start, have in self.join(words):
+            spec = self.specs[t]
+            if spec.phrase:
+                found = self.places(words, t, start)
+                places.update((i, spec.label) for i in found)
+                if not found:
+                    continue
+            else:
+                met += 1
+                if not self.named_in(words, t, start):
+                    continue
+            best[spec.label] = max(best.get(spec.label, 0.0), have / len(spec.words))
+        return sorted(places), best, met
+
+
 def _count(vocabulary: frozenset[bytes]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
         for batch in slices(batches, "text"):
             for text in byte_texts(batch.column("text")):
-                total.update(vocabulary.intersection(text.translate(WORD_TABLE).split()))
+                total.update(filter(vocabulary.__contains__, text.translate(WORD_TABLE).split()))
         yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in total], pa.string()), pa.array(list(total.values()), pa.int64())], names=["word", "n"])
 
     return run
 
 
-def index(found: dict[bytes, int], specs: list[tuple]) -> dict[bytes, list[tuple[int, int]]]:
-    """Prefix index: word -> (template, place in its order of words). Only its rarest size - need + 1 words are entered."""
-    by_word: dict[bytes, list[tuple[int, int]]] = {}
-    for t, (words, need, _, _) in enumerate(specs):
-        order = sorted(words, key=lambda w: (found.get(w, 0), w))
-        for place, w in enumerate(order[: len(order) - need + 1]):
-            by_word.setdefault(w, []).append((t, place))
-    return by_word
+def word_counts(docs: DataFrame, specs: list[Spec], text_col: str = "text") -> dict[str, int]:
+    """How often the whole corpus has each word of the templates: a row for each of them at most comes to the driver."""
+    vocabulary = frozenset(w.encode() for s in specs for w in s.words)
+    counts = docs.select(F.col(text_col).alias("text")).mapInArrow(_count(vocabulary), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return {r.word: r.n for r in counts.collect()}
 
 
-def nested(specs: list[tuple]) -> dict[int, list[int]]:
-    """For each template those whose words are all among its own, and fewer."""
-    return {t: inner for t, (words, *_) in enumerate(specs) if (inner := [u for u, (other, *_) in enumerate(specs) if other < words])}
+BLOCKS = pa.schema([("doc_id", pa.int64()), ("template", pa.int32()), ("label", pa.string()), ("first_word", pa.int64()), ("n_words", pa.int64()), ("containment", pa.float64()), ("named", pa.bool_())])
 
 
-def scan_words(words: list[bytes], by_word: dict[bytes, list[tuple[int, int]]], specs: list[tuple], block: int = BLOCK, inner: dict[int, list[int]] | None = None, naming: frozenset[bytes] = frozenset()) -> tuple[list[tuple[int, str]], dict[str, float]]:
-    """Places of phrases as (start, label), in order, and the largest containment of each label whose templates a block meets.
+def license_blocks(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: list[tuple[str, str]] = TEMPLATES, containment: float = CONTAINMENT, naming: frozenset[str] = NAMING, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The join itself: (doc_id, template, label, first_word, n_words, containment, named) of every block that meets a template's threshold.
 
-    With `inner` (see nested), a template that a block holds only in part gives no label there if the block holds one of
-    another label whole that is nested in it: what it has of the larger template is that smaller one. It gives none either
-    if it lacks one of the template's words that are in `naming`.
+    Null texts have no blocks. `template` counts phrases first; named: the block has all naming words of the template.
     """
-    step, best, places = block // 2, {}, set()
-    blocks = sorted({b for i, w in enumerate(words) if w in by_word for b in (i // step, i // step - 1) if b >= 0})
-    for b in blocks:
-        own = words[b * step : b * step + block]
-        held = set(own)
-        firsts: dict[int, int] = {}
-        met: dict[int, float] = {}
-        for w in held & by_word.keys():
-            for t, place in by_word[w]:
-                firsts[t] = min(place, firsts.get(t, place))
-        for t, place in firsts.items():
-            need, size = specs[t][1], len(specs[t][0])
-            if len(held) < need or size - place < need:
-                continue
-            have = len(held & specs[t][0])
-            if have < need or not naming.isdisjoint(specs[t][0] - held):
-                continue
-            phrase = specs[t][3]
-            if phrase:
-                starts = [i for i in range(len(own) - len(phrase) + 1) if own[i] == phrase[0] and tuple(own[i : i + len(phrase)]) == phrase]
-                places.update((b * step + i, t) for i in starts)
-                if not starts:
-                    continue
-            met[t] = have / size
-        for t, share in met.items():
-            label = specs[t][2]
-            if share == 1 or not any(met.get(u) == 1 and specs[u][2] != label for u in (inner or {}).get(t, [])):
-                best[label] = max(best.get(label, 0.0), share)
-    return sorted((i, specs[t][2]) for i, t in places), best
+    specs = specs_of(phrases, templates, containment, naming, block)
+    counts = word_counts(docs, specs, text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Index(specs, counts)
+        for batch in slices(batches, "text"):
+            out = []
+            for doc_id, text in zip(batch.column(0).to_pylist(), byte_texts(batch.column(1))):
+                words = text.translate(WORD_TABLE).split()
+                for t, start, have in index.join(words):
+                    s = specs[t]
+                    out.append((doc_id, t, s.label, start, min(s.block, len(words) - start), have / len(s.words), index.named_in(words, t, start)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), BLOCKS)], schema=BLOCKS)
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, template int, label string, first_word long, n_words long, containment double, named boolean")
 
 
-RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64())])
+RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()), ("n_blocks", pa.int64())])
 
 
-def license_scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: dict[str, str] = NOTICES, containment: float = CONTAINMENT, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
+def license_scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: list[tuple[str, str]] = TEMPLATES, containment: float = CONTAINMENT, naming: frozenset[str] = NAMING, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, n_blocks.
 
-    Null texts are empty: no words, no labels (empty strings), score 0, null places. Repeated rows and null ids keep a
-    row each; an empty table gives none. Other columns, whatever their names, are ignored. Templates longer than half a
-    block are refused: a block might cut them. A notice nested in another's words (see scan_words) isn't taken for that.
+    n_blocks: pairs of block and template that meet the threshold. A label is given if one of its templates is met by a
+    block that has the template's naming words too; score is the largest containment among the labels given. Null texts
+    are empty: no words, no labels (empty strings), score 0, null places. Repeated rows and null ids keep a row each; an
+    empty table gives none. Other columns, whatever their names, are ignored. The templates go to every task: they are
+    meant to be as many as there are licences, not to grow with the corpus.
     """
-    specs = templates(phrases, notices, containment)
-    if long := [s for s in specs if max(len(s[0]), len(s[3] or ())) > block // 2]:
-        raise ValueError(f"{len(long)} templates have more than {block // 2} words")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    vocabulary = frozenset().union(*(s[0] for s in specs))
-    counts = rows.select("text").mapInArrow(_count(vocabulary), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    inner = nested(specs)
-    by_word = index({r.word.encode(): r.n for r in counts.collect()}, specs)  # a row for each word of the templates at most
+    specs = specs_of(phrases, templates, containment, naming, block)
+    counts = word_counts(docs, specs, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Index(specs, counts)
         for batch in slices(batches, "text"):
             out = []
             for doc_id, text in zip(batch.column(0).to_pylist(), byte_texts(batch.column(1))):
                 words = text.translate(WORD_TABLE).split()
-                places, best = ([], {}) if by_word.keys().isdisjoint(words) else scan_words(words, by_word, specs, block, inner, NAMING)
+                places, best, met = index.document(words)
                 starts = [i for i, _ in places]
-                out.append((doc_id, len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in places})), ",".join(sorted(best)), max(best.values(), default=0.0)))
+                out.append((doc_id, len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in places})), ",".join(sorted(best)), max(best.values(), default=0.0), met))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), RESULT)], schema=RESULT)
 
-    return rows.mapInArrow(run, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, n_blocks long")
+
+
+def oracle_sql(phrases: dict[str, str] = PHRASES, templates: list[tuple[str, str]] = TEMPLATES, containment: float = CONTAINMENT, naming: frozenset[str] = NAMING, block: int = BLOCK) -> str:
+    """license_scan in DuckDB's SQL: every block is compared with every template."""
+    listed = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    specs = specs_of(phrases, templates, containment, naming, block)
+    known = ", ".join(f"({t}, '{s.label}', {listed(sorted(s.words))}, {s.need}, {listed(sorted(s.naming))}::VARCHAR[], {s.block})" for t, s in enumerate(specs) if not s.phrase)
+    base = ", ".join(f"('{s.label}', {listed(s.phrase)})" for s in specs if s.phrase)
+    return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+p(label, phrase) AS (VALUES {base}), t(t, label, words, need, naming, block) AS (VALUES {known}),
+spot AS (SELECT rid, label, i - 1 AS i FROM (SELECT rid, w, label, phrase, unnest(range(1, len(w) - len(phrase) + 2)) AS i FROM d, p WHERE len(w) >= len(phrase)) WHERE w[i:i + len(phrase) - 1] = phrase),
+bl AS (SELECT rid, block, list_distinct(w[b * block // 2 + 1 : b * block // 2 + block]) AS held FROM (SELECT rid, w, block, unnest(range(0, CAST(ceil(len(w) / (block / 2)) AS BIGINT))) AS b FROM d, (SELECT DISTINCT block FROM t))),
+met AS (SELECT rid, label, len(list_intersect(held, words)) / CAST(len(words) AS DOUBLE) AS share, len(list_intersect(held, naming)) = len(naming) AS named FROM bl JOIN t USING (block) WHERE len(list_intersect(held, words)) >= need),
+base AS (SELECT rid, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM spot GROUP BY 1),
+labels AS (SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM (SELECT rid, label, share FROM met WHERE named UNION ALL SELECT rid, label, CAST(1 AS DOUBLE) FROM spot) GROUP BY 1),
+n AS (SELECT rid, count(*) AS n_blocks FROM met GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, COALESCE(n_base, 0) AS n_base, first_word, last_word, COALESCE(base_labels, '') AS base_labels, COALESCE(labels, '') AS labels, COALESCE(score, CAST(0 AS DOUBLE)) AS score, COALESCE(n_blocks, 0) AS n_blocks
+FROM d LEFT JOIN base USING (rid) LEFT JOIN labels USING (rid) LEFT JOIN n USING (rid)"""

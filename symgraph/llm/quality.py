@@ -118,3 +118,20 @@ def remove_frequent_lines(docs: DataFrame, text_col: str = "text", host_col: str
     texts = texts.select("_id", F.coalesce(F.array_join("own.text", "\n"), F.lit("")).alias("_text"))
     new = F.coalesce("_text", f"_row.{text_col}")
     return rows.join(texts, "_id", "left").select(*[new.alias(c) if c == text_col else F.col(f"_row.{c}").alias(c) for c in docs.columns])
+
+
+def oracle_sql(line_docs: int = LINE_DOCS, least_left: float = LEAST_LEFT) -> str:
+    """quality in DuckDB's SQL; lines meet as texts, not as hashes."""
+    words = lambda text: f"regexp_extract_all({text}, '[^\\x20\\x09-\\x0D]+')"
+    low = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')".format
+    return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, COALESCE(source, '') AS host, COALESCE(text, '') AS t, {words("COALESCE(text, '')")} AS w,
+  list_filter(string_split(COALESCE(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM documents),
+win AS (SELECT rid, i, w[i:i + 2] AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) > 2)),
+rep AS (SELECT rid, count(DISTINCT k) AS n FROM (SELECT rid, unnest(range(i, i + 3)) AS k FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS c FROM win) WHERE c > 1) GROUP BY 1),
+lines AS (SELECT rid, host, line, CAST(sum(n) AS BIGINT) AS n FROM (SELECT rid, host, array_to_string({words(low('x'))}, ' ') AS line, len({words('x')}) AS n FROM (SELECT rid, host, unnest(ls) AS x FROM d)) GROUP BY 1, 2, 3),
+often AS (SELECT host, line FROM lines GROUP BY 1, 2 HAVING count(*) > {line_docs}),
+gone AS (SELECT rid, CAST(sum(n) AS BIGINT) AS n FROM lines JOIN often USING (host, line) GROUP BY 1),
+c AS (SELECT rid, doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(COALESCE(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, COALESCE(rep.n, 0) AS n_repeat_words, COALESCE(gone.n, 0) AS n_removed_words FROM d LEFT JOIN rep USING (rid) LEFT JOIN gone USING (rid)),
+f AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words AS base_failed FROM c)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND n_words - n_removed_words >= CAST({least_left} AS DOUBLE) * n_words AS kept, n_removed_words FROM f"""

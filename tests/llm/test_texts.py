@@ -131,27 +131,63 @@ def test_licenses(docs, made):
 @pytest.mark.parametrize("containment", [0.6, 0.8, 1.0])
 def test_license_join_is_exact(containment):
     rng = random.Random(1)
-    vocabulary = [f"w{i}".encode() for i in range(30)]
-    notices = {" ".join(rng.sample([f"w{i}" for i in range(30)], rng.randint(3, 12))): f"l{n}" for n in range(8)}
-    specs = licenses.templates({}, notices, containment)
-    by_word = licenses.index({w: rng.randint(0, 50) for w in vocabulary}, specs)
-    for _ in range(50):
-        text = [rng.choice(vocabulary) for _ in range(rng.randint(0, 150))]
-        best = {}
-        for b in range(0, max(1, len(text)), 12):
-            own = set(text[b : b + 24])
-            for s in specs:
-                if len(own & s[0]) >= s[1]:
-                    best[s[2]] = max(best.get(s[2], 0), len(own & s[0]) / len(s[0]))
-        assert licenses.scan_words(text, by_word, specs, 24)[1] == best
-
-
-def test_nested_notices():
-    specs = licenses.templates(licenses.PHRASES, licenses.NOTICES, licenses.CONTAINMENT)
-    by_word, inner = licenses.index({}, specs), licenses.nested(specs)
-    labels = lambda text: sorted(licenses.scan_words(text.encode().split(), by_word, specs, inner=inner)[1])
-    gpl = "licensed under the gnu general public license version 3"
-    assert labels(gpl) == ["gpl-3"] and labels(gpl.replace("general", "lesser general")) == ["gpl-3", "lgpl-3"]  # the larger notice holds the smaller one's words
+    vocabulary = [f"w{i}" for i in range(40)]
+    templates = [(f"l{n}", " ".join(rng.choices(vocabulary, k=rng.randint(3, 30)))) for n in range(9)]
+    specs = licenses.specs_of({}, templates, containment, frozenset(), 16)
+    assert len({s.block for s in specs}) > 1
+    index = licenses.Index(specs, {w: rng.randint(0, 50) for w in vocabulary})
+    for _ in range(60):
+        text = [rng.choice(vocabulary + ["x", "y", "z"] * 10).encode() for _ in range(rng.randint(0, 150))]
+        want = set()
+        for t, s in enumerate(specs):
+            for b in range(0, len(text), s.block // 2):
+                held = {w.decode() for w in text[b : b + s.block]} & s.words
+                if len(held) >= s.need:
+                    want.add((t, b, len(held)))
+        found = list(index.join(text))
+        assert len(found) == len(set(found)) and set(found) == want
+    n = index.stats
+    assert n["prefix"] == n["short"] + n["placed"] + n["counted"] and min(n["short"], n["placed"], n["counted"] - n["met"] + (containment == 1.0), n["met"]) > 0
+
+
+def test_license_filters_leave_little_to_count(spark):
+    """Over real tables the length and positional filters both take pairs away."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    specs = licenses.specs_of()
+    index = licenses.Index(specs, licenses.word_counts(docs, specs))
+    for r in docs.select("text").collect():
+        list(index.join(licenses.words_of(r.text or "") and [w.encode() for w in licenses.words_of(r.text)]))
+    assert min(index.stats[k] for k in ("short", "counted", "met")) > 0, index.stats
+
+
+def duck_rows(sql, columns, **tables):
+    """Rows of a DuckDB query over Spark frames."""
+    import duckdb
+
+    con = duckdb.connect()
+    for name, df in tables.items():
+        con.register(name, df.toArrow())
+    out = con.sql(sql)
+    assert sorted(out.columns) == sorted(columns)
+    return sorted(out.select(*[duckdb.ColumnExpression(c) for c in columns]).fetchall(), key=repr)
+
+
+def test_license_rows_against_sql(spark, docs):
+    rng = random.Random(3)
+    texts = [t for _, t in licenses.TEMPLATES]
+    for _ in range(60):
+        w = licenses.words_of(rng.choice(texts))
+        for _ in range(rng.randint(0, max(1, len(w) // 6))):
+            w[rng.randrange(len(w))] = rng.choice(["of", "the", "some", "other"])
+        texts.append(" ".join(["lead"] * rng.randint(0, 90) + w + ["tail"] * rng.randint(0, 90)))
+    more = spark.createDataFrame([(2000 + i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = docs.select("doc_id", "text").unionByName(more)
+    out = licenses.license_scan(rows)
+    assert got(out, *out.columns) == duck_rows(licenses.oracle_sql(), out.columns, documents=rows)
+    labels = {r.doc_id: set(r.labels.split(",")) for r in out.where("doc_id >= 2000").collect()}
+    assert all(label in labels[2000 + i] for i, (label, _) in enumerate(licenses.TEMPLATES))
+    blocks = licenses.license_blocks(rows)
+    assert got(blocks.where("template >= 3").groupBy("doc_id").agg(F.count("*").alias("n")), "doc_id", "n") == got(out.where("n_blocks > 0").groupBy("doc_id").agg(F.sum("n_blocks").alias("n")), "doc_id", "n")
 
 
 def test_partial_notices(spark):
