@@ -7,6 +7,8 @@ The permutation depends on the key and the format only, so equal values stay equ
 
 from __future__ import annotations
 
+import bisect
+import calendar
 import datetime
 import hashlib
 import re
@@ -15,16 +17,16 @@ from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from symgraph.llm.common import slices
 
-#: Secret of the permutation; a deployment passes its own.
-KEY = b"symgraph pseudonyms"
+#: Spark setting that holds the secret of the permutation, and what stands in for it where it is unset (trials and tests).
+KEY_SETTING, KEY = "spark.symgraph.pseudonym.key", b"symgraph pseudonyms"
 ROUNDS = 8
-FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
+FIRST_YEAR, LAST_YEAR = 1900, 2099
 
 
 def permute(value: int, size: int, key: bytes, tweak: bytes) -> int:
@@ -100,15 +102,21 @@ def _iban(text: str, key: bytes) -> str | None:
     return "".join(c if c == " " else next(out) for c in text)
 
 
+#: Characters that are permuted as one value.
+PIECE = 48
+
+
 def _classes(text: str, key: bytes, tweak: bytes) -> str:
-    """Permutes a string within its pattern of digits, small and capital letters (ASCII); other characters stay."""
+    """Permutes a string within its pattern of digits, small and capital letters (ASCII); other characters stay. Long strings are permuted piece by piece."""
+    if len(text) > PIECE:
+        return "".join(_classes(text[at : at + PIECE], key, tweak + b"%d" % (at // PIECE)) for at in range(0, len(text), PIECE))
     sizes = [10 if c in "0123456789" else 26 if c.isascii() and c.isalpha() else 1 for c in text]
     value, size = 0, 1
     for c, n in zip(text, sizes):
         value, size = value * n + (0 if n == 1 else int(c) if n == 10 else ord(c.lower()) - 97), size * n
-    if size == 1 or len(text) > 64:
+    if size == 1:
         return text
-    value = other(value, size, key, tweak + hashlib.blake2b(bytes(sizes), digest_size=6).digest())
+    value = other(value, size, key, hashlib.blake2b(tweak + b"|" + bytes(sizes), digest_size=12).digest())
     out = []
     for c, n in zip(reversed(text), reversed(sizes)):
         value, v = divmod(value, n)
@@ -151,19 +159,35 @@ def _email(text: str, key: bytes) -> str | None:
     return f"{_classes(local, key, b'mail')}@{host}"
 
 
+@lru_cache(maxsize=16)
+def _days(month: str, day: str) -> list[int]:
+    """Days (as ordinals) whose month and day are written as these are: "1" in one digit, "2" in two digits without a zero in front, "0" in two digits in any case."""
+    fits = {"0": range(1, 32), "1": range(1, 10), "2": range(10, 32)}
+    out = []
+    for y in range(FIRST_YEAR, LAST_YEAR + 1):
+        for m in fits[month]:
+            if m <= 12:
+                first = datetime.date(y, m, 1).toordinal() - 1
+                out += [first + d for d in fits[day] if d <= calendar.monthrange(y, m)[1]]
+    return sorted(out)
+
+
 def _date(text: str, key: bytes) -> str | None:
-    """Year first, or day or month first; kept in the order that makes it a date (day first where both would)."""
+    """Year first, or day or month first; kept in the order that makes it a date (day first where both would), and with as many digits in each place."""
     sep = re.search(r"\D", text)[0]
     a, b, c = text.split(sep)
     forms = [("ymd", a, b, c)] if len(a) == 4 else ([("dmy", c, b, a), ("mdy", c, a, b)] if sep != "/" else [("mdy", c, a, b), ("dmy", c, b, a)])
     for form, y, m, d in forms:
         try:
-            day = datetime.date(int(y), int(m), int(d)).toordinal()
+            day = datetime.date(int(y), int(m), int(d))
         except ValueError:
             continue
-        if FIRST_DAY <= day <= LAST_DAY:
-            new = datetime.date.fromordinal(FIRST_DAY + other(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, key, b"date"))
-            parts = {"y": f"{new.year:04d}", "m": f"{new.month:02d}", "d": f"{new.day:02d}"}
+        if FIRST_YEAR <= day.year <= LAST_YEAR:
+            widths = [len(m), len(d)]
+            how = ["0" if widths == [2, 2] or x[0] == "0" else str(len(x)) for x in (m, d)]  # beside one digit, two are a number of ten or more
+            days = _days(*how)
+            new = datetime.date.fromordinal(days[other(bisect.bisect_left(days, day.toordinal()), len(days), key, b"date" + "".join(how).encode())])
+            parts = {"y": f"{new.year:04d}", "m": f"{new.month:0{widths[0]}d}", "d": f"{new.day:0{widths[1]}d}"}
             return sep.join(parts[x] for x in form)
     return None
 
@@ -223,13 +247,21 @@ def pseudonymize_text(text: str, key: bytes = KEY) -> tuple[str, list[tuple[str,
     return ("".join([*parts, text[at:]]) if found else text), found
 
 
-def pseudonymize(docs: DataFrame, key: bytes = KEY, text_col: str = "text", keep: list[str] | None = None, count_col: str | None = None) -> DataFrame:
+def key_of(spark: SparkSession) -> bytes:
+    return (spark.conf.get(KEY_SETTING, None) or KEY.decode()).encode()
+
+
+def pseudonymize(docs: DataFrame, key: bytes | None = None, text_col: str = "text", keep: list[str] | None = None, count_col: str | None = None) -> DataFrame:
     """docs (or its columns `keep`) with values in text_col replaced; with count_col, also how many were.
 
     Null texts stay null, empty ones empty (0 values). Every other column, row, repeated rows and order stay as they are;
-    an empty table stays empty. Only texts with a digit or @ are looked at closely. count_col must not be a column of docs.
+    an empty table stays empty. Only texts with a digit or @ are looked at closely. count_col must not be a column of the
+    result (ValueError). Without a key the session's KEY_SETTING is taken.
     """
+    key = key or key_of(docs.sparkSession)
     rows = docs.select(*keep) if keep else docs
+    if count_col in rows.columns:
+        raise ValueError(f"{count_col} is a column already")
     at = rows.columns.index(text_col)
     schema = StructType([*rows.schema.fields, *([StructField(count_col, LongType())] if count_col else [])])
 
@@ -250,7 +282,7 @@ def pseudonymize(docs: DataFrame, key: bytes = KEY, text_col: str = "text", keep
     return rows.mapInArrow(run, schema)
 
 
-def pseudonym_rows(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def pseudonym_rows(docs: DataFrame, key: bytes | None = None) -> DataFrame:
     """doc_id, n_values, text: the whole result of the operator over a documents table."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return pseudonymize(rows, key, count_col="n_values").select("doc_id", "n_values", "text")

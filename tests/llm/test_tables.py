@@ -156,6 +156,60 @@ def test_plain_text():
     assert warc.plain_text("") == "" and warc.plain_text("a < b") == "a < b"
 
 
+def plain_by_patterns(page):
+    """The same text by replacing one kind of thing after another (pages whose marks are closed)."""
+    import html
+
+    page = re.sub(r"(?s)<!--.*?-->|(?i:<(script|style|noscript|template|svg|head)\b[^>]*>.*?</\1\s*>)|(?i:<![a-z][^>]*>)", " ", page)
+    block = "|".join(sorted(warc.BREAKING, key=len, reverse=True))
+    page = re.sub(r"</?[a-zA-Z][^>]*>", "", re.sub(rf"(?i)</?(?:{block})\b[^>]*>", "\n", page))
+    return re.sub(r" ?\n[ \n]*", "\n", re.sub(r"[^\S\n]+", " ", html.unescape(page))).strip()
+
+
+def test_plain_text_against_patterns(spark):
+    rng = random.Random(2)
+    pieces = ["<p>", "</p>", "<b class=x>", "</b>", "<br/>", "text ", "a &amp; b", " <!-- c <p> --> ", "<script>if (a<b) {}</script>", "<style>p{}</style>", "1 < 2", "\n", "<li>", "<H2>", "</H2>", "<svg><a></a></svg>", "<!DOCTYPE html>", "é"]
+    for _ in range(400):
+        page = "".join(rng.choices(pieces, k=rng.randint(0, 25)))
+        assert warc.plain_text(page) == plain_by_patterns(page), page
+    for r in spark.read.parquet(f"{SF}/pages.parquet").select("html").collect():
+        assert warc.plain_text(r.html) == plain_by_patterns(r.html)
+
+
+@pytest.mark.parametrize("piece", ["<script> ", "<!-- ", "<a <b ", "<title>", "<html ", "<svg><head>", "</p", "& &amp", "<!d "])
+def test_long_open_markup_takes_linear_time(piece):
+    import time
+
+    began = time.perf_counter()
+    page = piece * (1_000_000 // len(piece))
+    warc.derive(1, "u", page)
+    assert time.perf_counter() - began < 5
+
+
+def test_archived_responses_keep_their_headers(spark, tmp_path):
+    http = "HTTP/1.1 203 Non-Authoritative\r\nContent-Type: text/html; charset=iso-8859-1\r\nX-Source: mirror 7"
+    body = "<html lang='de'><title>Grüße</title><p>schön</p></html>".encode("iso-8859-1")
+    block = http.encode() + b"\r\n\r\n" + body
+    head = f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:1>\r\nWARC-Date: 2019-05-05T05:05:05Z\r\nWARC-Target-URI: http://x.example/\r\nWARC-Payload-Digest: {warc.digest(body)}\r\nContent-Length: {len(block)}\r\n\r\n"
+    request = b"WARC/1.0\r\nWARC-Type: request\r\nContent-Length: 5\r\n\r\nWARC/\r\n\r\n"
+    import gzip
+
+    whole = request + head.encode() + block + b"\r\n\r\n"
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(request) + gzip.compress(head.encode() + block + b"\r\n\r\n") + gzip.compress(head.encode())[:-20])
+    (tmp_path / "b.warc").write_bytes(whole + head.encode() + block[:9])
+    found = warc.read_warc(spark, str(tmp_path)).withColumn("page_id", F.lit(5)).withColumn("seq", F.lit(9))
+    assert found.count() == 2 and {r.http_headers for r in found.collect()} == {http}
+    out = warc.derivatives(found, url_col="target_uri", source={k: k for k in warc.SOURCE}).collect()
+    assert [r.warc_type for r in out] == ["metadata", "conversion"] * 2
+    for r in out:
+        assert r.refers_to == "<urn:uuid:1>" and "WARC-Date: 2019-05-05T05:05:05Z" in r.record and "WARC-Refers-To-Date: 2019-05-05T05:05:05Z" in r.record
+    assert out[1].record.endswith("\r\n\r\nGrüße\nschön") and "utf8-payload-digest: " in out[0].record
+    for line in ("title: Grüße", "language: de", "charset: iso-8859-1", "http-status: 203", "http-x-source: mirror 7", f"source-payload-digest: {warc.digest(body)}"):
+        assert f"{line}\r\n" in out[0].record, line
+    made = warc.derivatives(found.drop("record_id"), url_col="target_uri", source={"http_headers": "http_headers"}).where("seq = 0").first()
+    assert http in made.record
+
+
 def test_warc_records(spark, tmp_path):
     rows = [(1, "http://a.example/x\r\ny", "<html lang=de><title>T</title><p>Grüße &amp; mehr</p></html>"), (2, None, None), (None, "http://b.example/", ""), (1, "http://a.example/x\r\ny", "<html lang=de><title>T</title><p>Grüße &amp; mehr</p></html>"), (3, "http://c.example/", "<p>" + "long " * 50_000)]
     frame = spark.createDataFrame([(*r, "z") for r in rows], "page_id long, url string, html string, record string")

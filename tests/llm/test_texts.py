@@ -172,6 +172,11 @@ def duck_rows(sql, columns, **tables):
     return sorted(out.select(*[duckdb.ColumnExpression(c) for c in columns]).fetchall(), key=repr)
 
 
+def test_contamination_against_sql(docs, bench):
+    rows, items = docs.select("doc_id", "text"), bench.select("item_id", "text")
+    assert got(decontaminate.contamination(docs, bench), *CONTAMINATION) == duck_rows(decontaminate.oracle_sql(), CONTAMINATION, documents=rows, benchmark=items)
+
+
 def test_license_rows_against_sql(spark, docs):
     rng = random.Random(3)
     texts = [t for _, t in licenses.TEMPLATES]
@@ -313,6 +318,29 @@ def test_packing(docs, made, size):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+def test_packing_follows_the_curve(spark):
+    """Pieces in order of sequence and place are documents in order of their keys; neighbours share sequences."""
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    kinds = [[f"{a}{b}" for b in "abcdefgh"] for a in ("xo", "qu", "zi", "mm", "ta")]
+    texts = [" ".join(rng.choices(rng.choice(kinds), k=30)) for _ in range(200)]
+    key = dict(enumerate(packing.curve_keys(pa.array(texts)).tolist()))
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), sequence_tokens=256).collect()
+    order = [r.doc_id for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset))]
+    assert [key[i] for i in order] == sorted(key[i] for i in order)
+    mean = np_mean_neighbours(texts, key)
+    assert mean[0] < 0.5 * mean[1]
+
+
+def np_mean_neighbours(texts, key):
+    """Share of neighbours of other words: in order of the curve, and in order of ids."""
+    def apart(order):
+        return sum(set(texts[a].split()).isdisjoint(texts[b].split()) for a, b in zip(order, order[1:])) / len(order)
+
+    return apart(sorted(key, key=key.get)), apart(sorted(key))
+
+
 def test_hilbert_neighbours_touch():
     import itertools
 
@@ -373,6 +401,17 @@ def test_quality(docs, made):
     assert quality.quality(docs.limit(0)).count() == 0
 
 
+def test_quality_against_sql(spark, docs):
+    """All columns, the verdict too: lines from few texts over few hosts, so that many are frequent."""
+    rng = random.Random(12)
+    lines = ["Menu | Home", "menu |  home", "Subscribe now", "a b c a b c a b c", "", "  ", "own words here"] + [" ".join(rng.choices("abcdefghij", k=15)) for _ in range(14)]
+    made = [(i, "\n".join(rng.choices(lines, k=rng.randint(1, 12))), f"s{i % 3}" if i % 7 else None) for i in range(150)]
+    rows = spark.createDataFrame(made, "doc_id long, text string, source string").unionByName(docs.select("doc_id", "text", "source"))
+    out = quality.quality(rows, line_docs=9)
+    assert got(out, *out.columns) == duck_rows(quality.oracle_sql(line_docs=9), out.columns, documents=rows)
+    assert out.where("kept").count() and out.where("not kept and not base_failed").count() and out.where("n_removed_words > 0").count()
+
+
 def test_frequent_lines(spark):
     body = lambda i: "\n".join(" ".join(f"own{i}.{k}.{n}" for n in range(12)) for k in range(6))
     rows = [(i, body(i) + "\nSubscribe  to our NEWS", "a") for i in range(12)] + [(50, body(50) + "\nsubscribe to our news", "b"), (51, "shared tail " * 30 + "\n" + "z " * 3, "a"), (52, None, "a")]
@@ -438,3 +477,73 @@ def test_feistel_is_a_permutation():
         out = [pii.other(i, size, b"k", b"t") for i in range(size)]
         assert sorted(out) == list(range(size)) and (size == 1 or all(a != b for a, b in enumerate(out)))
         assert [pii.unpermute(pii.permute(i, size, b"k", b"t"), size, b"k", b"t") for i in range(size)] == list(range(size))
+
+
+def test_date_widths_and_long_names_stay():
+    import calendar
+
+    for text, pattern in (("1/2/2020", r"[1-9]/[1-9]/\d{4}"), ("1999-1-2", r"\d{4}-[1-9]-[1-9]"), ("01.02.2020", r"\d\d\.\d\d\.\d{4}"), ("3/14/2015", r"[1-9]/[1-3]\d/\d{4}"), ("25.3.1980", r"[1-3]\d\.[1-9]\.\d{4}"), ("2020-12-31", r"\d{4}-\d\d-\d\d")):
+        new, found = pii.pseudonymize_text(f"on {text}.")
+        assert found == [("date", 3)] and re.fullmatch(f"on {pattern}\\.", new) and new != f"on {text}.", new
+    for m, d in (("0", "0"), ("1", "1"), ("1", "2"), ("2", "1")):
+        days = pii._days(m, d)
+        assert len(days) == len(set(days)) and days == sorted(days)
+    assert len(pii._days("0", "0")) == sum(365 + calendar.isleap(y) for y in range(pii.FIRST_YEAR, pii.LAST_YEAR + 1))
+    long = "a" * 70 + "@a.com"
+    new, found = pii.pseudonymize_text(f"to {long} now")
+    assert found == [("email", 3)] and re.fullmatch(r"to [a-z]{70}@a\.com now", new) and long not in new
+    assert all(pii.pseudonymize_text(f"{'ab1.' * n}x@h.example")[0] != f"{'ab1.' * n}x@h.example" for n in range(1, 60))
+
+
+def test_prefilter_passes_every_text_that_changes():
+    rng = random.Random(11)
+    pieces = ["+49 30 12 34 56", "4111 1111 1111 1111", "4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1", "DE89 3704 0044 0532 0130 00", "a@b.example", "1/2/2020", "1.2.3.4", "123-45-6789", "(415) 555-0101", "x", " ", "-", "no", "7", "٣٤"]
+    changed = 0
+    for _ in range(3000):
+        text = "".join(rng.choices(pieces, k=rng.randint(1, 4)))
+        new, found = pii.pseudonymize_text(text)
+        changed += bool(found)
+        assert not found or re.search(pii.LOOKS, text), text
+        assert (new == text) == (not found)
+    assert changed > 1000
+
+
+def other_by_table(value, size, key, tweak):
+    """The same permutation by another way: the cycle order of the network over all its values, then a step along what is inside."""
+    half = max(1, ((size - 1).bit_length() + 1) // 2)
+
+    def network(x):
+        left, right = divmod(x, 1 << half)
+        for n in range(8):
+            data = hashlib.blake2b(right.to_bytes((half + 7) // 8, "big"), key=key, salt=bytes([n]), person=tweak, digest_size=max(8, (half + 7) // 8)).digest()
+            left, right = right, left ^ int.from_bytes(data, "big") % (1 << half)
+        return (left << half) + right
+
+    def inside(x):
+        x = network(x)
+        return x if x < size else inside(x)
+
+    image = [inside(x) for x in range(size)]
+    return image[(image.index(value) + 1) % size]
+
+
+def test_values_stay_linked_across_documents(spark):
+    """Equal values in many documents get equal pseudonyms, different ones different ones; small formats equal a second implementation."""
+    assert all(pii.other(v, size, b"k", b"t") == other_by_table(v, size, b"k", b"t") for size in (2, 10, 100, 365) for v in range(0, size, 7))
+    rng = random.Random(4)
+    luhn = lambda body: body + str(-pii.luhn(body + "0") % 10)
+    values = [luhn("4" + "".join(rng.choices("0123456789", k=14))) for _ in range(20)] + [f"u{i}.x@h{i % 3}.example" for i in range(20)] + [f"10.{i}.2.3" for i in range(20)] + [f"2001-{i % 12 + 1:02d}-{i + 1:02d}" for i in range(20)]
+    rows = [(n, f"note {n}: [{v}] and [{w}]", v, w) for n in range(400) for v, w in [rng.sample(values, 2)]]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, v string, w string").repartition(5)
+    seen = {}
+    for r in pii.pseudonymize(frame, b"own key").collect():
+        for old, new in zip((r.v, r.w), re.findall(r"\[(.*?)\]", r.text)):
+            assert seen.setdefault(old, new) == new != old
+    assert len(seen) == 80 == len(set(seen.values()))
+    with pytest.raises(ValueError):
+        pii.pseudonymize(frame, count_col="v")
+    spark.conf.set(pii.KEY_SETTING, "another")
+    try:
+        assert pii.pseudonymize(frame).first().text != pii.pseudonymize(frame, b"own key").first().text
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
