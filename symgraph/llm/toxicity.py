@@ -39,8 +39,13 @@ _QUOTES = re.compile(r"[\"“”„«»]")
 #: Words that report or speak about a term, and words that address someone (fixed values, four languages).
 REPORTING = frozenset("said says wrote quoted called word term phrase slur title sagte schrieb zitat wort begriff dit écrit mot terme dijo escribió palabra término".split())
 ADDRESS = frozenset("you your you're are du dein ihr sie bist tu toi vous votre es tú tu eres usted".split())
-#: What a hit in quotation, near reporting, or near an address or another hit counts.
-QUOTED, REPORTED, ADDRESSED, MISSPELLED = 0.3, 0.6, 1.2, 0.7
+#: What a hit in quotation, near reporting, and near an address or another hit counts, as long as CONTEXT_HITS labelled hits don't tell.
+FACTORS = (0.3, 0.6, 1.2)
+CONTEXT_HITS, FACTOR_RANGE, MISSPELLED = 30, (0.1, 1.5), 0.7
+
+
+#: Before a context's number among the counts of terms; no term has it.
+CONTEXT_MARK = "#"
 
 
 class FuzzyTrie:
@@ -124,25 +129,26 @@ class FuzzyTrie:
 
 @dataclass
 class Model:
-    """weights: log odds of each term; misspelled: what a misspelling of it counts; curve: intercept and slope of the logistic curve over a text's summed weight."""
+    """weights: log odds of each term; misspelled: what a misspelling of it counts; curve: intercept and slope of the logistic curve over a text's summed weight; factors: see FACTORS."""
 
     weights: dict[str, float] = field(default_factory=dict)
     misspelled: dict[str, float] = field(default_factory=dict)
     stems: frozenset[str] = frozenset()
     curve: tuple[float, float] = (-2.0, 0.0)
+    factors: tuple[float, float, float] = FACTORS
 
     def key(self) -> tuple:
-        return tuple((t, w, self.misspelled.get(t, MISSPELLED * w)) for t, w in sorted(self.weights.items())), self.stems, self.curve
+        return tuple((t, w, self.misspelled.get(t, MISSPELLED * w)) for t, w in sorted(self.weights.items())), self.stems, self.curve, self.factors
 
 
 @lru_cache(maxsize=2)
 def _matcher(key: tuple) -> tuple[FuzzyTrie, dict[str, tuple[float, float]], dict[str, tuple[str, int] | None]]:
-    weights, stems, _ = key
+    weights, stems, *_ = key
     return FuzzyTrie({t: t in stems for t, _, _ in weights}), {t: (w, m) for t, w, m in weights}, {}
 
 
-def find_hits(text: str, key: tuple) -> list[tuple[int, str, int, float]]:
-    """(word number, term, errors, context factor) of each hit. A word is a run of letters, lower-cased."""
+def find_hits(text: str, key: tuple) -> list[tuple[int, str, int, tuple[bool, bool, bool]]]:
+    """(word number, term, errors, context: in quotation, near reporting, near an address or another hit) of each hit. A word is a run of letters, lower-cased."""
     trie, _, known = _matcher(key)
     low = text.lower()
     words = _WORD.findall(low)
@@ -156,23 +162,20 @@ def find_hits(text: str, key: tuple) -> list[tuple[int, str, int, float]]:
     if not found:
         return []
     hits = [(i, *found[w]) for i, w in enumerate(words) if w in found]
-    places = [m.start() for m in _WORD.finditer(low)] if _QUOTES.search(low) else []
-    marks = [m.start() for m in _QUOTES.finditer(low)]
+    marks = np.array([m.start() for m in _QUOTES.finditer(low)], np.int64)
+    if len(marks):
+        places = np.fromiter((m.start() for m in _WORD.finditer(low)), np.int64, len(words))
+        mark_word = np.searchsorted(places, marks)  # words before each mark
     at = {i for i, *_ in hits}
     out = []
     for i, term, errors in hits:
         near = words[max(0, i - CONTEXT) : i] + words[i + 1 : i + 1 + CONTEXT]
-        factor = 1.0
-        if marks:  # an odd number of marks before it, the last of them and the next one near
-            before = np.searchsorted(marks, places[i])
-            last = marks[before - 1] if before else -1
-            if before % 2 and before < len(marks) and low.count(" ", last, marks[before]) <= 3 * CONTEXT:
-                factor *= QUOTED
-        if not REPORTING.isdisjoint(near):
-            factor *= REPORTED
-        if not ADDRESS.isdisjoint(near) or any(j in at for j in range(i - CONTEXT, i + CONTEXT + 1) if j != i):
-            factor *= ADDRESSED
-        out.append((i, term, errors, factor))
+        quoted = False
+        if len(marks):  # an odd number of marks before it, and few words between the last of them and the next
+            before = int(np.searchsorted(marks, places[i]))
+            quoted = before % 2 == 1 and before < len(marks) and mark_word[before] - mark_word[before - 1] <= 3 * CONTEXT
+        addressed = not ADDRESS.isdisjoint(near) or any(j in at for j in range(i - CONTEXT, i + CONTEXT + 1) if j != i)
+        out.append((i, term, errors, (bool(quoted), not REPORTING.isdisjoint(near), addressed)))
     return out
 
 
@@ -180,11 +183,27 @@ def total_weight(text: str, key: tuple) -> float:
     """Weight of the strongest hit of each term, summed and damped. Texts without a hit have 0."""
     _, weights, _ = _matcher(key)
     best: dict[str, float] = {}
-    for _, term, errors, factor in find_hits(text, key):
-        best[term] = max(best.get(term, 0.0), weights[term][errors > 0] * factor)
+    for _, term, errors, context in find_hits(text, key):
+        w = weights[term][errors > 0]
+        for is_so, factor in zip(context, key[3]):
+            w *= factor if is_so else 1.0
+        best[term] = max(best.get(term, 0.0), w)
     return log(1 + sum(best.values()))
 
 
+def fit_factors(counts: dict[tuple[int, int], int], n1: int, n0: int) -> tuple[float, float, float]:
+    """What each context makes of a hit's log odds. counts: hits by (context, label), context 0 to 2 as in FACTORS and 3 for hits in none.
+
+    A factor is the log odds of a toxic row among hits in the context, as a share of those of hits in none, within
+    FACTOR_RANGE; with fewer than CONTEXT_HITS hits in the context or in none, the one of FACTORS.
+    """
+    odds = lambda c: log((counts.get((c, 1), 0) + 0.5) / n1) - log((counts.get((c, 0), 0) + 0.5) / n0)
+    some = lambda c: counts.get((c, 1), 0) + counts.get((c, 0), 0) >= CONTEXT_HITS
+    plain = odds(3)
+    out = [min(FACTOR_RANGE[1], max(FACTOR_RANGE[0], odds(c) / plain)) if some(c) and some(3) and plain > 0 else FACTORS[c] for c in range(3)]
+    return (out[0], out[1], out[2])
+
+
 def score_text(text: str, key: tuple) -> float:
     a, b = key[2]
     return 1 / (1 + exp(-max(-30.0, min(30.0, a + b * total_weight(text, key)))))
@@ -335,22 +354,32 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
             for text, y in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
                 hits = find_hits(text or "", first)
                 seen.update((t, y) for t in {h[1] for h in hits if h[2]} - {h[1] for h in hits if not h[2]})
+                contexts = {c for h in hits for c in range(4) if (h[3][c] if c < 3 else not any(h[3]))}  # once for a row, whatever its length
+                seen.update((f"{CONTEXT_MARK}{c}", y) for c in contexts)
             terms, labels = [t for t, _ in seen], [y for _, y in seen]
             yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(labels, pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["term", "y", "n"])
 
     seen = {(r.term, r.y): r.n for r in picked.mapInArrow(misspell, "term string, y int, n long").groupBy("term", "y").agg(F.sum("n").alias("n")).collect()}
     # a misspelling counts less the more clean rows have it
     misspelled = {t: MISSPELLED * w * (seen.get((t, 1), 0) + 2) / (seen.get((t, 1), 0) + seen.get((t, 0), 0) + 2) for t, w in weights.items()}
-    key = Model(weights, misspelled, stems).key()
+    factors = fit_factors({(int(t[1:]), y): n for (t, y), n in seen.items() if t.startswith(CONTEXT_MARK)}, n1, n0)
+    choices = sorted({FACTORS, factors})
+    keys = [Model(weights, misspelled, stems, factors=f).key() for f in choices]
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([total_weight(t or "", key) for t in batch.column("text").to_pylist()], pa.float64()), batch.column("toxic").cast(pa.int32())], names=["x", "y"])
-
-    pairs = picked.mapInArrow(weigh, "x double, y int").collect()  # two numbers for each of about fit_rows rows
-    x, y = np.array([r.x for r in pairs]), np.array([r.y for r in pairs], float)
-    order = np.lexsort((y, x))
-    return Model(weights, misspelled, stems, fit_curve(x[order], y[order]))
+            yield pa.RecordBatch.from_arrays([pa.array([[total_weight(t or "", k) for k in keys] for t in batch.column("text").to_pylist()], pa.list_(pa.float64())), batch.column("toxic").cast(pa.int32())], names=["x", "y"])
+
+    pairs = picked.mapInArrow(weigh, "x array<double>, y int").collect()  # three numbers for each of about fit_rows rows
+    xs, y = np.array([r.x for r in pairs]), np.array([r.y for r in pairs], float)
+    fits = []
+    for i, f in enumerate(choices):  # the factors under which the curve fits the labels better
+        order = np.lexsort((y, xs[:, i]))
+        curve = fit_curve(xs[order, i], y[order])
+        p = 1 / (1 + np.exp(-np.clip(curve[0] + curve[1] * xs[order, i], -30, 30)))
+        fits.append((float(-np.log(np.where(y[order] == 1, p, 1 - p)).mean()), f, curve))
+    _, factors, curve = min(fits)
+    return Model(weights, misspelled, stems, curve, factors)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", into: str = "score") -> DataFrame:
