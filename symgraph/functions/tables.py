@@ -12,15 +12,15 @@ _roots: dict[str, str] = {}
 _written: dict[str, list[str]] = {}
 
 
-def shared_root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder only where that is unset and all executors are on this machine (local runs, tests)."""
+def shared_root(spark: SparkSession, folder: str | None = None) -> str:
+    """A folder (by default the application's own) in spark.checkpoint.dir; in a temporary one only where that is unset and all executors are on this machine (local runs, tests)."""
     app = spark.sparkContext.applicationId
     root = spark.conf.get("spark.checkpoint.dir", None) or _roots.get(app)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = _roots[app] = tempfile.mkdtemp(prefix="symgraph-")
-    return f"{root.rstrip('/')}/symgraph-{app}"
+    return "/".join(x for x in (root.rstrip("/"), f"symgraph-{app}" if folder is None else folder) if x)
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -31,6 +31,11 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
