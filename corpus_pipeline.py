@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from symgraph.functions.tables import exists, mark, release, shared_root
 from symgraph.llm import decontaminate, packing, pii, simhash, toxicity
 from symgraph.llm.common import materialize, table
 
@@ -39,8 +40,21 @@ STAGES = [("toxicity", toxic), ("near-duplicates", near_duplicates), ("decontami
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str, run_id: str | None = None) -> DataFrame:
+    """The packed corpus. Each stage's tables are deleted once the next has written its own.
+
+    With a run_id stages have names of their own in the shared folder, and a run that failed goes on after the last stage
+    that was written whole; nothing is deleted then.
+    """
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    for at, (name, stage) in enumerate(STAGES):
+        if run_id:
+            path = f"{shared_root(spark, '')}/run-{run_id}/{at}-{name}"
+            if not exists(spark, f"{path}/_SUCCESS"):
+                stage(spark, docs, sf_dir).write.mode("overwrite").parquet(path)
+            docs = spark.read.parquet(path)
+        else:
+            place = mark(spark)
+            docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+            release(spark, max(0, place - 1) if at else place, keep=[docs])
     return docs
