@@ -266,3 +266,52 @@ def test_pipeline(spark):
     out = p.run(spark, SF)
     assert {r.doc_id for r in out.select("doc_id").distinct().collect()} == {r.doc_id for r in hidden.collect()}
     assert [n for n, _ in p.STAGES] == ["toxicity", "near-duplicates", "decontamination", "pseudonyms", "packing"]
+
+
+def made_tables(spark, folder, rows):
+    """A folder of tables with these documents (doc_id, text), labels and a benchmark; extra columns that operators use inside."""
+    frame = spark.createDataFrame([(i, t, "en", "s", 1, "x", 2) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, _row string, _k1 long")
+    frame.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 3 == 0), 0) for i, _ in rows if i is not None], "doc_id long, toxic int, quality int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, " ".join(f"q{k}" for k in range(12)))], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return frame.columns
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows, a passage, personal data, clashing columns; an empty table; a run that goes on."""
+    import corpus_pipeline as p
+
+    body = lambda i: " ".join(f"w{i}x{k}" for k in range(40))
+    passage = " ".join(f"q{k}" for k in range(12))
+    rows = [(None, None), (1, ""), (2, body(2)), (2, body(2)), (4, body(4) + " " + passage), (5, passage), (7, body(7) + " 4111 1111 1111 1111"), (8, "long " + body(8) * 400), (None, body(9))]
+    columns = made_tables(spark, tmp_path / "a", rows)
+    docs = spark.read.parquet(str(tmp_path / "a" / "documents.parquet"))
+    for name, stage in p.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path / "a"))
+        assert docs.columns == columns, name
+    texts = {(r.doc_id, r.text) for r in docs.collect()}
+    assert (2, body(2)) in texts and (4, body(4)) in texts and (8, rows[7][1]) in texts and (None, body(9)) in texts
+    assert sum(i == 2 for i, _ in texts) == 1 and not any(i == 5 for i, _ in texts) and not any(t and "4111 1111" in t for _, t in texts)
+    out = p.run(spark, str(tmp_path / "a"))
+    assert sorted(r.n for r in out.groupBy("doc_id").agg(F.sum("length").alias("n")).collect()) == sorted(r.n for r in p.run(spark, str(tmp_path / "a"), run_id=tmp_path.name).groupBy("doc_id").agg(F.sum("length").alias("n")).collect())
+    before = out.count()
+    again = p.run(spark, str(tmp_path / "a"), run_id=tmp_path.name)
+    assert again.count() == before and out.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+    made_tables(spark, tmp_path / "b", [])
+    assert p.run(spark, str(tmp_path / "b")).count() == 0
+
+
+def test_entry_without_the_subpackage(monkeypatch):
+    """Where something that it needs is missing, the other queries stay."""
+    import sys
+
+    import __spark_entry__
+
+    every = __spark_entry__.queries()
+    assert "pipeline" in every and "op1_decontamination" in every and "op1_decontamination" in __spark_entry__.oracle_sql()
+    import symgraph.llm as package
+
+    monkeypatch.setitem(sys.modules, "symgraph.llm.queries", None)
+    monkeypatch.delattr(package, "queries", raising=False)
+    rest = __spark_entry__.queries()
+    assert set(every) - set(rest) == {n for n in every if n.startswith("op")} | {"pipeline"}
