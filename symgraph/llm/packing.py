@@ -23,8 +23,8 @@ from symgraph.llm.common import slices
 DIMS, BITS, BUCKET_BITS = 4, 12, 10
 BUCKETS = 1 << BUCKET_BITS
 SEQUENCE = 2048
-#: Bytes of text for each range partition: what one task packs grows with the longest document only.
-PARTITION_BYTES = 64 << 20
+#: Bytes of text for each range partition, and partitions at most: the driver samples some twenty keys for each.
+PARTITION_BYTES, MOST_PARTITIONS = 64 << 20, 100_000
 
 
 @lru_cache(maxsize=1)
@@ -139,7 +139,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, sequence_tokens: in
     path = tokenizer_path or tokens.default_path()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-size // PARTITION_BYTES))
+    parts = min(MOST_PARTITIONS, -(-size // PARTITION_BYTES))
     rows = rows.withColumn("key", curve_key(F.col("text"))).withColumn("tie", F.xxhash64("doc_id"))
     rows = rows.repartitionByRange(max(parts, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "key", "tie").sortWithinPartitions("key", "tie", "doc_id", "text").select("doc_id", "text")
 
