@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,6 +29,58 @@ def basename(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
+def stem(path: Column) -> Column:
+    """The file's name without its last extension; a name that begins with a dot keeps it."""
+    return F.regexp_replace(basename(path), r"(?<=.)\.[^.]*$", "")
+
+
+def collapsed(path: Column) -> Column:
+    """A path without . parts and with each .. taken together with the part before it, as far as there is one."""
+    rooted = path.startswith("/")
+    parts = F.filter(F.split(path, "/"), lambda x: (x != "") & (x != "."))
+    none = F.array().cast("array<string>")
+
+    def step(s: Column, x: Column) -> Column:
+        can = (F.size(s) > 0) & (F.element_at(F.concat(F.array(F.lit("..")), s), -1) != "..")
+        return F.when((x == "..") & can, F.slice(s, F.lit(1), F.greatest(F.size(s) - 1, F.lit(0)))).when((x == "..") & rooted & (F.size(s) == 0), s).otherwise(F.concat(s, F.array(x)))
+
+    return F.concat(F.when(rooted, "/").otherwise(""), F.array_join(F.aggregate(parts, none, step), "/"))
+
+
+def scope_path(path: Column, root: str = "") -> Column:
+    """A path as scopes are written: slashes made equal, without the project's root, leading slashes and ./, and trailing slashes."""
+    slashed = F.replace(F.trim(path), F.lit("\\"), F.lit("/"))
+    root = root.replace("\\", "/")
+    if root:
+        slashed = F.when(slashed.startswith(root), F.substr(slashed, F.lit(len(root) + 1))).otherwise(slashed)
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(slashed, "^/+", ""), r"^(\./)+", ""), "/+$", "")
+
+
+def absolute_path(root: str, path: Column) -> Column:
+    """Stored paths below the project's root; absolute ones stay."""
+    return F.when(path.startswith("/"), collapsed(path)).otherwise(collapsed(F.concat(F.lit(root.rstrip("/") + "/"), path)))
+
+
+def vector_of(blob: Column) -> Column:
+    """Little-endian 32-bit floats packed in a blob, as an array; bytes beyond the last whole one are dropped. For imports of old indexes only."""
+
+    @F.arrow_udf("array<float>")
+    def unpack(x: pa.Array) -> pa.Array:
+        return pa.array([None if b is None else np.frombuffer(b[: len(b) // 4 * 4], "<f4") for b in x.to_pylist()], pa.list_(pa.float32()))
+
+    return unpack(blob)
+
+
+def blob_of(vector: Column) -> Column:
+    """The inverse of vector_of."""
+
+    @F.arrow_udf("binary")
+    def pack(x: pa.Array) -> pa.Array:
+        return pa.array([None if a is None else np.asarray(a, "<f4").tobytes() for a in x.to_pylist()], pa.binary())
+
+    return pack(vector)
+
+
 def cosine(a: Column, b: Column) -> Column:
     """0 for unequal lengths, empty vectors and zero norms; in double."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, z: s + z)

@@ -2,32 +2,37 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from symgraph.functions.tables import materialize
 
 
+def union(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
+
+
 def levels(arcs: DataFrame, start: DataFrame, depth: int) -> DataFrame:
-    """(node, level) of nodes that arcs (src, dst) reach within depth, start (node) being level 0."""
-    seen = start.select("node").distinct().withColumn("level", F.lit(0))
-    frontier = seen.select("node")
+    """(node, level) of nodes that arcs (src, dst) reach within depth, start (node) being level 0. Each level is written once, as a table of its own."""
+    arcs = materialize(arcs.where("src is not null").select("src", "dst").distinct(), "arcs")
+    tables = [materialize(start.select("node").distinct().withColumn("level", F.lit(0)), "level")]
     for level in range(1, depth + 1):
-        found = frontier.join(arcs, frontier.node == arcs.src).select(F.col("dst").alias("node")).distinct()
-        found = materialize(found.join(seen, "node", "left_anti"), "frontier")
+        found = tables[-1].select(F.col("node").alias("src")).join(arcs, "src").select(F.col("dst").alias("node")).distinct()
+        found = materialize(found.join(union(tables).select("node"), "node", "left_anti").withColumn("level", F.lit(level)), "level")
         if found.isEmpty():
             break
-        seen = materialize(seen.unionByName(found.withColumn("level", F.lit(level))), "seen")
-        frontier = found
-    return seen.select("node", F.col("level").cast("long").alias("level"))
+        tables.append(found)
+    return union(tables).select("node", F.col("level").cast("long").alias("level"))
 
 
 def pagerank(arcs: DataFrame, rounds: int = 10, damping: float = 0.85, every: int = 5) -> DataFrame:
-    """Un-normalised rank from 1.0: 0.15 + 0.85 x what comes in; parallel arcs count, what dangles is dropped."""
-    nodes = arcs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    out = arcs.groupBy("src").agg(F.count("*").alias("n"))
-    weights = materialize(arcs.groupBy("src", "dst").agg(F.count("*").alias("m")).join(out, "src").select("src", "dst", (F.col("m") / F.col("n")).alias("w")), "arcs")
-    nodes = materialize(nodes, "nodes")
+    """Un-normalised rank from 1.0: 0.15 + 0.85 x what comes in; parallel arcs count, what dangles and arcs without a source are dropped."""
+    arcs = materialize(arcs.where("src is not null").groupBy("src", "dst").agg(F.count("*").alias("m")), "arcs")
+    out = arcs.groupBy("src").agg(F.sum("m").alias("n"))
+    weights = materialize(arcs.join(out, "src").select("src", "dst", (F.col("m") / F.col("n")).alias("w")), "weights")
+    nodes = materialize(arcs.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "nodes")
     rank = nodes.withColumn("rank", F.lit(1.0))
     for i in range(1, rounds + 1):
         into = rank.join(weights, rank.node == weights.src).groupBy("dst").agg(F.sum(F.col("rank") * F.col("w")).alias("s"))
@@ -39,10 +44,11 @@ def pagerank(arcs: DataFrame, rounds: int = 10, damping: float = 0.85, every: in
 
 def label_propagation(arcs: DataFrame, rounds: int = 5) -> DataFrame:
     """Synchronous rounds: each node takes its neighbours' most frequent label, ties the smallest."""
-    both = materialize(arcs.select("src", "dst").union(arcs.select("dst", "src")), "both")
+    arcs = arcs.where("src is not null")
+    both = materialize(arcs.select("src", "dst").union(arcs.select("dst", "src")).groupBy("src", "dst").agg(F.count("*").alias("m")), "both")
     labels = both.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node"))
     for _ in range(rounds):
-        votes = both.join(labels, both.dst == labels.node).groupBy("src", "label").agg(F.count("*").alias("n"))
+        votes = both.join(labels, both.dst == labels.node).groupBy("src", "label").agg(F.sum("m").alias("n"))
         best = votes.groupBy("src").agg(F.max(F.struct("n", (-F.col("label")).alias("m"))).alias("b"))
         labels = materialize(best.select(F.col("src").alias("node"), (-F.col("b.m")).alias("label")), "labels")
     return labels

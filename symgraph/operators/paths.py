@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from symgraph.functions.tables import materialize
-from symgraph.operators.iterative import levels
+from symgraph.operators.iterative import levels, union
 
 # Fixed values ---------------------------------------------------------------------------------------------------------
 HOPS = {"strict": 0, "expanded": 3, "full": 8}
@@ -29,26 +29,49 @@ def explore(edges: DataFrame, start: DataFrame, depth: int, direction: str = "ou
     return nodes, inside.orderBy("src", "dst", "kind").limit(3 * max_nodes)
 
 
+def subtree(edges: DataFrame, root: DataFrame, depth: int, max_nodes: int = 100) -> tuple[DataFrame, DataFrame]:
+    """(nodes (node, level), edges (src, dst, kind)) around a root, whatever the edges' direction: the max_nodes nearest
+    nodes (1 to 500, ties the lowest id) and all edges among them, self-loops too."""
+    max_nodes = min(max(max_nodes, 1), 500)
+    arcs = edges.where("source_symbol_id is not null").select(F.col("source_symbol_id").alias("src"), F.col("target_symbol_id").alias("dst"), "kind").distinct()
+    both = arcs.select("src", "dst").union(arcs.select("dst", "src"))
+    nodes = materialize(levels(both, root, depth).orderBy("level", "node").limit(max_nodes), "subtree")
+    near = F.broadcast(nodes.select("node"))  # max_nodes rows
+    return nodes, arcs.join(near, arcs.src == near.node, "left_semi").join(near, arcs.dst == near.node, "left_semi")
+
+
+def isolation(edges: DataFrame, root: int) -> DataFrame:
+    """One row: why a root has nothing around it (no edges, only self-loops, only edges that files start), or connected."""
+    own = edges.where((F.col("source_symbol_id") == root) | (F.col("target_symbol_id") == root))
+    loops, starts = F.col("source_symbol_id") == F.col("target_symbol_id"), F.col("source_symbol_id").isNull()
+    counts = own.agg(F.count("*").alias("edges"), F.count_if(F.coalesce(loops, F.lit(False))).alias("loops"), F.count_if(starts).alias("from_files"))
+    n = F.col("edges")
+    return counts.withColumn("reason", F.when(n == 0, "no edges").when(n == F.col("loops"), "only self-loops").when(n == F.col("loops") + F.col("from_files"), "only edges that files start").otherwise("connected"))
+
+
 def shortest_path(arcs: DataFrame, source: int, target: int, spark=None) -> DataFrame:
-    """(step, node) of a shortest directed path, of those the one of the lowest parents; (0, source) if both are one; no rows if there is none."""
+    """(step, node) of a shortest directed path, of those the one of the lowest parents; (0, source) if both are one; no rows if there is none.
+
+    Each level is a table (node, parent); the path is read back by one join of the target with the levels before it.
+    """
     spark = spark or arcs.sparkSession
-    seen = spark.createDataFrame([(source, None, 0)], "node long, parent long, level long")
-    frontier, level = seen.select("node"), 0
+    arcs = materialize(arcs.where("src is not null").select("src", "dst").distinct(), "arcs")
+    tables = [materialize(spark.createDataFrame([(source, None)], "node long, parent long"), "level")]
     while source != target:
-        level += 1
-        found = frontier.withColumnRenamed("node", "src").join(arcs.select("src", "dst"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
-        found = materialize(found.join(seen.select("node"), "node", "left_anti").withColumn("level", F.lit(level).cast("long")), "found")
+        found = tables[-1].select(F.col("node").alias("src")).join(arcs, "src").groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
+        found = materialize(found.join(union(tables).select("node"), "node", "left_anti"), "level")
         if found.isEmpty():
             return spark.createDataFrame([], "step long, node long")
-        seen = materialize(seen.unionByName(found), "seen")
+        tables.append(found)
         if not found.where(F.col("node") == target).isEmpty():
             break
-        frontier = found.select("node")
-    steps, node = [], target
-    for at in range(level, -1, -1):  # one lookup per step of the path
-        steps.append((at, node))
-        node = seen.where((F.col("node") == node)).select("parent").first()[0] if at else None
-    return spark.createDataFrame(steps[::-1], "step long, node long")
+    last = len(tables) - 1
+    rows = tables[last].where(F.col("node") == target).select(F.col("node").alias(f"n{last}"), "parent")
+    for at in range(last - 1, -1, -1):
+        level = tables[at].select(F.col("node").alias(f"n{at}"), F.col("parent").alias("next"))
+        rows = rows.join(level, rows["parent"] == level[f"n{at}"]).drop("parent").withColumnRenamed("next", "parent")
+    steps = F.array(*[F.struct(F.lit(at).cast("long").alias("step"), F.col(f"n{at}").alias("node")) for at in range(last + 1)])
+    return rows.select(F.explode(steps).alias("s")).select("s.step", "s.node")
 
 
 def dependency_graph(files: DataFrame, symbols: DataFrame, edges: DataFrame) -> DataFrame:
@@ -113,13 +136,13 @@ def strong_components(arcs: DataFrame) -> DataFrame:
 
 def levels_all(arcs: DataFrame, start: DataFrame) -> DataFrame:
     """(node) of all that arcs reach from start, itself included."""
-    seen = frontier = materialize(start.select("node"), "reached")
+    tables = [materialize(start.select("node").distinct(), "reached")]
     while True:
-        found = frontier.join(arcs, frontier.node == arcs.src).select(F.col("dst").alias("node")).distinct()
-        found = materialize(found.join(seen, "node", "left_anti"), "reached")
+        found = tables[-1].select(F.col("node").alias("src")).join(arcs, "src").select(F.col("dst").alias("node")).distinct()
+        found = materialize(found.join(union(tables), "node", "left_anti"), "reached")
         if found.isEmpty():
-            return seen
-        seen, frontier = materialize(seen.unionByName(found), "reached"), found
+            return union(tables)
+        tables.append(found)
 
 
 def cyclic_groups(files: DataFrame, symbols: DataFrame, edges: DataFrame) -> DataFrame:

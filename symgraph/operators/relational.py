@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from symgraph.functions import vocabulary as v
 from symgraph.functions.scalars import extension, in_scope, parent_dir
+from symgraph.functions.tables import materialize
 
 
 def canonical(edges: DataFrame) -> DataFrame:
@@ -41,11 +42,18 @@ def kind_distribution(df: DataFrame) -> DataFrame:
 
 
 def degree(symbols: DataFrame, edges: DataFrame) -> DataFrame:
-    """symbol_id, fan_in (edges without a source count), fan_out, over all kinds; one shuffle on the symbol."""
-    ends = edges.select(F.explode(F.array(F.struct(F.col("target_symbol_id").alias("id"), F.lit(1).alias("i"), F.lit(0).alias("o")), F.struct(F.col("source_symbol_id").alias("id"), F.lit(0).alias("i"), F.lit(1).alias("o")))).alias("e")).select("e.*").where("id is not null")
-    counts = ends.groupBy("id").agg(F.sum("i").alias("fan_in"), F.sum("o").alias("fan_out"))
+    """symbols with fan_in (edges without a source count), fan_out and interaction_count (both ends), over all kinds; one shuffle on the symbol."""
+    kind = F.col("kind") == "interaction"
+    end = lambda c, i, o: F.struct(F.col(c).alias("id"), F.lit(i).alias("i"), F.lit(o).alias("o"), kind.cast("int").alias("x"))
+    ends = edges.select(F.explode(F.array(end("target_symbol_id", 1, 0), end("source_symbol_id", 0, 1))).alias("e")).select("e.*").where("id is not null")
+    counts = ends.groupBy("id").agg(F.sum("i").alias("fan_in"), F.sum("o").alias("fan_out"), F.sum("x").alias("interaction_count"))
     rows = symbols.join(counts, symbols.symbol_id == counts.id, "left")
-    return rows.select(*[symbols[c] for c in symbols.columns], F.coalesce("fan_in", F.lit(0)).cast("long").alias("fan_in"), F.coalesce("fan_out", F.lit(0)).cast("long").alias("fan_out"))
+    return rows.select(*[symbols[c] for c in symbols.columns], *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("fan_in", "fan_out", "interaction_count")])
+
+
+def incident_counts(edges: DataFrame) -> DataFrame:
+    """(symbol_id, n): edges that begin or end at a symbol; a self-loop counts once."""
+    return edges.select(F.explode(F.array_distinct(F.array("source_symbol_id", "target_symbol_id"))).alias("symbol_id")).where("symbol_id is not null").groupBy("symbol_id").agg(F.count("*").alias("n"))
 
 
 def hotspot_rows(files: DataFrame, symbols: DataFrame, edges: DataFrame, scope: str | None = None) -> DataFrame:
@@ -67,6 +75,7 @@ def hotspots_files(files: DataFrame, symbols: DataFrame, edges: DataFrame) -> Da
 
 def graph_metrics(files: DataFrame, symbols: DataFrame, edges: DataFrame, relationships: DataFrame) -> DataFrame:
     """Totals, orphans, isolated files, connectivity, density, import resolution; of nothing: 1.0, 0.0, 1.0."""
+    edges = materialize(edges.select("source_file_id", "source_symbol_id", "target_symbol_id", "kind"), "edges")  # read four times
     one = lambda df, name: df.agg(F.count("*").alias(name))
     out = one(files, "files").join(one(symbols, "symbols")).join(one(edges, "edges")).join(one(orphan_symbols(symbols, edges), "orphans"))
     out = out.join(one(isolated_files(files, symbols, edges), "isolated_files")).join(one(relationships, "relationships")).join(one(unresolved_relationships(relationships, edges), "unresolved"))
@@ -160,22 +169,30 @@ def edge_coverage(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     return symbols.agg(F.count("*").alias("symbols")).join(have).withColumn("percent", F.round(100.0 * F.col("with_edges") / F.col("symbols"), 6))
 
 
+#: Lines of a bucket of enclosing_symbols.
+LINE_BUCKET = 64
+
+
 def enclosing_symbols(relationships: DataFrame, symbols: DataFrame) -> DataFrame:
-    """References with `enclosing`: the innermost symbol of the file around the line (smallest span, then lowest id).
+    """References with `enclosing`: the innermost symbol of the file around the line (smallest span, then lowest id), of kinds that can hold others.
 
-    Spans are looked up per (file, line), not per reference: the range join runs over the distinct lines of a file.
+    Spans are looked up per (file, line), not per reference, and lines meet only the symbols of their bucket of lines.
     """
-    spots = relationships.select("file_id", "line_number").distinct()
-    around = spots.join(symbols.select("file_id", "symbol_id", "start_line", "end_line"), "file_id").where("line_number between start_line and end_line")
+    bucket = lambda c: F.floor(F.col(c) / LINE_BUCKET)
+    spots = relationships.select("file_id", "line_number").where("line_number is not null").distinct().withColumn("bucket", bucket("line_number"))
+    holders = symbols.where(~F.col("kind").isin(v.NOT_ENCLOSING_KINDS) & (F.col("end_line") >= F.col("start_line")))
+    holders = holders.select("file_id", "symbol_id", "start_line", "end_line", F.explode(F.sequence(bucket("start_line"), bucket("end_line"))).alias("bucket"))
+    around = spots.join(holders, ["file_id", "bucket"]).where("line_number between start_line and end_line")
     best = around.groupBy("file_id", "line_number").agg(F.min(F.struct((F.col("end_line") - F.col("start_line")).alias("span"), "symbol_id")).alias("b"))
     return relationships.join(best, ["file_id", "line_number"], "left").select(*[relationships[c] for c in relationships.columns], F.col("b.symbol_id").alias("enclosing"))
 
 
 def name_candidates(relationships: DataFrame, symbols: DataFrame) -> DataFrame:
-    """References with n (how many symbols have the name), first (the lowest of them) and the state that follows."""
+    """References with n (how many symbols have the name), first (the lowest of them) and the state that follows; with a column `enclosing`, a reference to it is Recursive."""
     by_name = symbols.groupBy("name").agg(F.count("*").alias("n"), F.min("symbol_id").alias("first"))
     rows = relationships.join(by_name, "name", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    state = F.when(F.col("n") > 1, "Ambiguous").when(F.col("n") == 1, "RepositorySymbol").when(F.col("kind").isin("method_call", "MEMBER_ACCESS", "annotation", "generic_constraint"), "Dynamic").otherwise("Missing")
+    own = F.coalesce(F.col("first") == F.col("enclosing"), F.lit(False)) if "enclosing" in relationships.columns else F.lit(False)
+    state = F.when(F.col("n") > 1, "Ambiguous").when((F.col("n") == 1) & own, "Recursive").when(F.col("n") == 1, "RepositorySymbol").when(F.col("kind").isin(v.DYNAMIC_KINDS), "Dynamic").otherwise("Missing")
     return rows.withColumn("state", state)
 
 

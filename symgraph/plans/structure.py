@@ -6,14 +6,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symgraph.operators import classify, diagnostics, iterative, linking, manifest, paths, relational, resolve
-from symgraph.plans.catalogue import _add, _arcs, _over_graph, _over_table, _start
+from symgraph.plans.catalogue import _LABELS, _add, _arcs, _over_graph, _over_rough, _over_table, _start
 from symgraph.sources import adapter, repository
 from symgraph.streaming import reindex
 
 # classifiers ----------------------------------------------------------------------------------------------------------
 
 _over_graph("feature_flags", "SELECT symbol_id, kind IN ('function', 'method') AS is_callable, kind = 'class' AS is_type, kind = 'variable' AS is_local, kind = 'constant' AS is_constant, NOT starts_with(name, '_') AS is_exported, NOT starts_with(name, '_') AS is_public, contains(name, 'generated') AS is_generated FROM symbols")(lambda g: classify.feature_flags(g.symbols))
-_over_graph("entrypoint_categories", "SELECT symbol_id, CASE WHEN contains(lower(name), 'route') OR contains(lower(name), 'handler') THEN 'HTTP/API' WHEN contains(path, 'cli') OR contains(path, 'bin') THEN 'CLI' ELSE 'Library Exports' END AS category FROM symbols JOIN files USING (file_id)")(lambda g: g.symbols.join(g.files, "file_id").select("symbol_id", classify.entrypoint_category(F.col("name"), F.col("path")).alias("category")))
+_PATHS = ["a/API/x.ts", "src/routes.ts", "spec/x.ts", "bin/x.ts", "worker/x.ts", "cron/x.ts", "scripts/x.ts", "x/Pages/y.tsx", "plain/x.ts"]
+_over_table("documents", "entrypoint_categories", f"""SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'HTTP/API' WHEN doc_id % 9 < 2 THEN 'HTTP/API' WHEN doc_id % 9 = 2 THEN 'Tests' WHEN doc_id % 9 = 3 OR doc_id % 10 = 1 THEN 'CLI' WHEN doc_id % 9 = 4 THEN 'Workers' WHEN doc_id % 9 = 5 THEN 'Cron' WHEN doc_id % 9 = 6 THEN 'Scripts' WHEN doc_id % 9 = 7 THEN 'Next.js Pages' ELSE 'Library Exports' END AS category FROM documents""")(
+    lambda d: d.select("doc_id", classify.entrypoint_category(F.when(F.col("doc_id") % 10 == 0, "onHandlerX").when(F.col("doc_id") % 10 == 1, "Main").otherwise("f"), F.element_at(F.array(*map(F.lit, _PATHS)), (F.col("doc_id") % 9 + 1).cast("int"))).alias("category"))
+)
+_over_table("documents", "signature_decorators", "SELECT doc_id, concat('@app.get ', '@', source) AS marks FROM documents")(lambda d: d.select("doc_id", F.array_join(classify.decorators(F.concat(F.lit("@app.get x @"), "source", F.lit(" f(a @ b)".replace("@ ", "at ")))), " ").alias("marks")))
+_LAYERS = ["user_model", "core-util", "apiX", "billing_service", "misc"]
+_over_table("documents", "layer_names", "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'Persistence' WHEN 1 THEN 'Infrastructure' WHEN 2 THEN 'Presentation' WHEN 3 THEN 'Business' ELSE CASE WHEN doc_id % 3 = 0 THEN 'Presentation' WHEN doc_id % 3 = 1 THEN 'Infrastructure' ELSE 'Business' END END AS layer FROM documents")(
+    lambda d: d.select("doc_id", classify.layer(F.element_at(F.array(*map(F.lit, _LAYERS)), (F.col("doc_id") % 5 + 1).cast("int")), F.when(F.col("doc_id") % 3 == 0, 2).otherwise(F.when(F.col("doc_id") % 3 == 1, 0).otherwise(1)), F.when(F.col("doc_id") % 3 == 0, 0).otherwise(1)).alias("layer"))
+)
+_SOURCES = [("./a", "ts", "RepositorySymbol"), ("react", "tsx", "ExternalDependency"), ("node:fs", "js", "Builtin"), ("fs/promises", "ts", "Builtin"), ("std::io", "rs", "StandardLibrary"), ("crate::x", "rs", "RepositorySymbol"), ("serde", "rs", "ExternalDependency"), ("os.path", "py", "StandardLibrary"), ("own.mod", "py", "RepositorySymbol"), ("numpy", "py", "ExternalDependency"), (".x", "py", "RepositorySymbol"), ("@/b", "vue", "RepositorySymbol"), ("x", "txt", "RepositorySymbol")]
+_over_table("documents", "import_states", f"SELECT doc_id, [{', '.join(f"'{s}'" for _, _, s in _SOURCES)}][doc_id % {len(_SOURCES)} + 1] AS state FROM documents")(
+    lambda d: d.select("doc_id", *[F.element_at(F.array(*[F.lit(s[i]) for s in _SOURCES]), (F.col("doc_id") % len(_SOURCES) + 1).cast("int")).alias(c) for i, c in ((0, "source"), (1, "ext"))]).select("doc_id", classify.import_state(F.col("source"), F.lit("name"), F.col("ext"), ["own"]).alias("state"))
+)
 _over_graph("directory_layers", """, d AS (SELECT DISTINCT regexp_replace(a.path, '/[^/]*$', '') AS x, regexp_replace(b.path, '/[^/]*$', '') AS y FROM edges e JOIN files a ON source_file_id = a.file_id JOIN symbols s ON target_symbol_id = symbol_id JOIN files b ON s.file_id = b.file_id WHERE e.kind IN ('calls', 'imports', 'type_ref', 'inherits')),
 n AS (SELECT directory, CAST(sum(o) AS BIGINT) AS dependencies, CAST(sum(i) AS BIGINT) AS dependents FROM (SELECT x AS directory, 1 AS o, 0 AS i FROM d WHERE x <> y UNION ALL SELECT y, 0, 1 FROM d WHERE x <> y) GROUP BY 1)
 SELECT *, CASE WHEN dependents = 0 AND dependencies > 0 THEN 'Presentation' WHEN dependencies = 0 AND dependents > 0 THEN 'Infrastructure' ELSE 'Business' END AS layer FROM n""")(lambda g: classify.layers(relational.directory_edges(g.files, g.symbols, g.edges)))
@@ -72,6 +84,7 @@ def _two_versions(d: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 _over_table("documents", "file_changes", "SELECT concat('./docs/', source, '/', doc_id, '.txt') AS path, CASE WHEN contains(text, 'license') THEN 'Changed' ELSE 'Unchanged' END AS state FROM documents")(lambda d: repository.changes(*_two_versions(d)))
 _over_table("documents", "index_freshness", "SELECT count(*) FILTER (contains(text, 'license')) AS stale, count(*) AS checked, CASE WHEN count(*) FILTER (contains(text, 'license')) > 0 THEN 'stale' ELSE 'healthy' END AS status FROM documents")(lambda d: repository.freshness(repository.stale_counts(*_two_versions(d))))
+_over_table("documents", "stale_files", "SELECT concat('./docs/', source, '/', doc_id, '.txt') AS path FROM documents WHERE contains(text, 'license') OR doc_id % 9 = 0 ORDER BY 1 LIMIT 40")(lambda d: repository.stale_files(_two_versions(d)[0], _two_versions(d.where("doc_id % 9 <> 0"))[1], 40))
 _over_table("documents", "line_slices", "SELECT doc_id, array_to_string(list_slice(string_split(regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '\\n$', ''), chr(10)), 2, 3), chr(10)) AS text FROM documents WHERE len(string_split(regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '\\n$', ''), chr(10))) >= 2")(lambda d: repository.line_range(d, 2, 3, "doc_id", "text"))
 
 
@@ -86,7 +99,8 @@ def file_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 # paths ----------------------------------------------------------------------------------------------------------------
 
 _over_graph("explore_nodes", ", t AS (WITH RECURSIVE r(node, level) AS (SELECT CAST(20000001 AS BIGINT), 0 UNION SELECT target_symbol_id, level + 1 FROM r JOIN edges ON source_symbol_id = node WHERE level < 2) SELECT node, CAST(min(level) AS BIGINT) AS level FROM r GROUP BY 1) SELECT node, level FROM t ORDER BY 2, 1 LIMIT 200")(lambda g: paths.explore(g.edges, _start(g), 2)[0])
-_over_graph("shortest_path", None)(lambda g: paths.shortest_path(_arcs(g.edges), 20000001, 30000001))
+#: Customer 1 orders from a supplier, whose part types lead to parts: two steps, by the lowest supplier that has the part.
+_over_graph("shortest_path", ", t AS (SELECT min(a.target_symbol_id) AS mid FROM edges a JOIN edges b ON b.source_symbol_id = a.target_symbol_id WHERE a.source_symbol_id = 20000001 AND b.target_symbol_id = 30000001), p AS (SELECT unnest([0, 1, 2]) AS step, unnest([20000001, mid, 30000001]) AS node FROM t) SELECT CAST(step AS BIGINT) AS step, CAST(node AS BIGINT) AS node FROM p")(lambda g: paths.shortest_path(_arcs(g.edges), 20000001, 30000001))
 _over_graph("cyclic_groups", None)(lambda g: paths.cyclic_groups(g.files, g.symbols, g.edges))
 _over_graph("subsystem_members", None)(lambda g: paths.discover_subsystem(g.symbols, g.edges, g.symbols.where("name = 'Supplier#000000003'")))
 
@@ -95,27 +109,53 @@ _over_graph("subsystem_members", None)(lambda g: paths.discover_subsystem(g.symb
 
 def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References with their state and the evidence that lexical resolution leaves."""
-    rows = relational.name_candidates(adapter.relationships(spark, sf_dir), adapter.symbols(spark, sf_dir))
-    return rows.withColumn("evidence", F.when(F.col("state") == "RepositorySymbol", "LexicalScopeMatch")).drop("n", "first")
+    symbols = adapter.symbols(spark, sf_dir)
+    rows = relational.name_candidates(relational.enclosing_symbols(adapter.relationships(spark, sf_dir), symbols), symbols)
+    return rows.withColumn("evidence", F.when(F.col("state") == "RepositorySymbol", "LexicalScopeMatch")).drop("n", "first", "enclosing")
+
+
+#: States and evidence by the number of a reference, so that all of them occur.
+_STATES = ["RepositorySymbol", "ExternalDependency", "Builtin", "StandardLibrary", "Missing", "Dynamic", None]
+_EVIDENCE = ["ImportMatch", "BuiltinClassification", None, "ExternalDependency", "LexicalScopeMatch"]
+_MIXED = f", mixed AS (SELECT *, [{', '.join(f"'{x}'" if x else 'NULL' for x in _STATES)}][rel_id % {len(_STATES)} + 1] AS st, [{', '.join(f"'{x}'" if x else 'NULL' for x in _EVIDENCE)}][rel_id % {len(_EVIDENCE)} + 1] AS ev FROM relationships)"
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("rel_id") % len(values) + 1).cast("int"))
+    return adapter.relationships(spark, sf_dir).withColumns({"state": pick(_STATES), "evidence": pick(_EVIDENCE)})
 
 
-@_add("method_origins", "SELECT count(*) AS calls, count(*) FILTER (state = 'RepositorySymbol') AS local_variables, CAST(0 AS BIGINT) AS repository_imports, CAST(0 AS BIGINT) AS external_imports, CAST(0 AS BIGINT) AS builtin, CAST(0 AS BIGINT) AS standard_library, count(*) FILTER (state <> 'RepositorySymbol') AS unknown, round(100.0 * count(*) FILTER (state = 'RepositorySymbol') / count(*), 6) AS deterministic_percent FROM states WHERE kind = 'method_call'")
+_OWN = "count(*) FILTER (st = 'RepositorySymbol' AND {} (ev IN ('ImportMatch', 'ImportFlow') AND ev IS NOT NULL))"
+
+
+@_add("method_origins", _MIXED + f", o AS (SELECT count(*) AS calls, {_OWN.format('NOT')} AS local_variables, {_OWN.format('')} AS repository_imports, count(*) FILTER (st = 'ExternalDependency') AS external_imports, count(*) FILTER (st = 'Builtin') AS builtin, count(*) FILTER (st = 'StandardLibrary') AS standard_library FROM mixed WHERE kind = 'method_call') SELECT *, calls - known AS unknown, round(100.0 * known / calls, 6) AS deterministic_percent FROM (SELECT *, local_variables + repository_imports + external_imports + builtin + standard_library AS known FROM o)".replace("SELECT *, calls - known", "SELECT * EXCLUDE (known), calls - known"))
 def method_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diagnostics.method_origins(_resolved(spark, sf_dir))
+    return diagnostics.method_origins(_mixed(spark, sf_dir))
 
 
-@_add("contract_violations", "SELECT CAST(0 AS BIGINT) AS repository_without_evidence, count(*) FILTER (state IN ('Missing', 'Dynamic')) AS missing_without_reason, CAST(0 AS BIGINT) AS builtin_evidence, CAST(0 AS BIGINT) AS external_evidence FROM states")
+@_add("contract_violations", _MIXED + " SELECT count(*) FILTER (st = 'RepositorySymbol' AND ev IS NULL) AS repository_without_evidence, count(*) FILTER (st IN ('Missing', 'Dynamic') AND ev IS NULL) AS missing_without_reason, count(*) FILTER (st = 'Builtin' AND ev <> 'BuiltinClassification') AS builtin_evidence, count(*) FILTER (st = 'ExternalDependency' AND ev <> 'ExternalDependency') AS external_evidence FROM mixed")
 def contract_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diagnostics.contract_violations(_resolved(spark, sf_dir))
+    return diagnostics.contract_violations(_mixed(spark, sf_dir))
+
+
+@_add("state_histogram", _MIXED + " SELECT COALESCE(st, 'Unknown') AS state, count(*) AS n FROM mixed GROUP BY 1")
+def state_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagnostics.state_histogram(_mixed(spark, sf_dir))
+
+
+@_add("evidence_histogram", _MIXED + " SELECT ev AS evidence, count(*) AS n FROM mixed WHERE ev IS NOT NULL GROUP BY 1")
+def evidence_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagnostics.evidence_histogram(_mixed(spark, sf_dir))
 
 
-@_add("unbacked_references", "SELECT rel_id, file_id, kind FROM states s WHERE state = 'RepositorySymbol' AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.source_file_id = s.file_id AND e.kind = s.kind)")
+@_add("unbacked_references", "SELECT rel_id, file_id, kind FROM states s WHERE state = 'RepositorySymbol' AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.source_file_id = s.file_id AND e.kind = s.kind AND e.source_file_id % 4 <> 0)")
 def unbacked_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diagnostics.unbacked_references(_resolved(spark, sf_dir), adapter.edges(spark, sf_dir)).select("rel_id", "file_id", "kind")
+    """Every fourth file's edges are left out."""
+    return diagnostics.unbacked_references(_resolved(spark, sf_dir), adapter.edges(spark, sf_dir).where("source_file_id % 4 <> 0")).select("rel_id", "file_id", "kind")
 
 
 _over_graph("duplicate_definitions", "SELECT file_id, name, kind, start_line, count(*) AS n FROM symbols GROUP BY ALL HAVING count(*) > 1")(lambda g: diagnostics.duplicate_definitions(g.symbols))
-_over_graph("excess_edges", "SELECT CAST(COALESCE(sum(n - 1), 0) AS BIGINT) AS excess FROM (SELECT count(*) AS n FROM edges GROUP BY source_file_id, source_symbol_id, target_symbol_id, kind, edge_type)")(lambda g: diagnostics.excess_edges(g.edges))
+_over_rough("excess_edges", "SELECT CAST(COALESCE(sum(n - 1), 0) AS BIGINT) AS excess FROM (SELECT count(*) AS n FROM redges GROUP BY source_file_id, source_symbol_id, target_symbol_id, kind, edge_type)")(lambda g: diagnostics.excess_edges(g.edges))
 
 
 @_add("diagnostics", None)
@@ -132,7 +172,10 @@ _over_graph("manifest_largest", """, m AS (SELECT symbol_id, 'fan_in' AS metric,
 SELECT metric, symbol_id, value FROM (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY value DESC, symbol_id) AS r FROM m) WHERE r = 1""")(lambda g: manifest.largest(relational.degree(g.symbols, g.edges)))
 _over_graph("language_share", "SELECT regexp_extract(path, '\\.([^./]+)$', 1) AS extension, count(*) AS files, round(100.0 * count(*) / (SELECT count(*) FROM files), 6) AS percent FROM files GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 8")(lambda g: manifest.language_share(g.files))
 _over_graph("architecture_health", "SELECT count(*) AS symbols, count(*) FILTER (fan_in + fan_out = 0) AS orphans, round(100.0 * count(*) FILTER (fan_in + fan_out = 0) / count(*), 6) AS orphan_percent, CAST(round(100 - least(0.4 * 100.0 * count(*) FILTER (fan_in + fan_out = 0) / count(*), 30)) AS BIGINT) - 3 AS score FROM degrees")(lambda g: manifest.health(relational.degree(g.symbols, g.edges), 1))
-_over_graph("communities", None)(lambda g: manifest.communities(iterative.label_propagation(_arcs(g.edges)), g.symbols, g.files, g.edges))
+_COMMUNITIES = _LABELS + """, own AS (SELECT symbol_id, label, regexp_extract(regexp_replace(path, '/[^/]*$', ''), '[^/]*$', 0) AS directory FROM symbols JOIN files USING (file_id) JOIN l5 ON node = symbol_id),
+dirs AS (SELECT label, directory, count(*) AS n FROM own GROUP BY 1, 2), across AS (SELECT DISTINCT a.label AS x, b.label AS y FROM edges JOIN l5 a ON a.node = source_symbol_id JOIN l5 b ON b.node = target_symbol_id WHERE a.label <> b.label)
+SELECT label, arg_max(directory, (n, directory)) FILTER (directory NOT IN ('src', 'lib', 'app', '.', '')) AS name, CAST(sum(n) AS BIGINT) AS symbols, (SELECT count(*) FROM across WHERE x = label) AS dependencies, (SELECT count(*) FROM across WHERE y = label) AS dependents FROM dirs GROUP BY label"""
+_over_graph("communities", _COMMUNITIES)(lambda g: manifest.communities(iterative.label_propagation(_arcs(g.edges)), g.symbols, g.files, g.edges))
 
 
 @_add("import_map", "SELECT file_id, name, max(rel_id) AS rel_id FROM relationships WHERE kind = 'imports' GROUP BY 1, 2")

@@ -65,13 +65,39 @@ def graph(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(files(spark, sf_dir), symbols(spark, sf_dir), edges(spark, sf_dir))
 
 
+def rough(spark: SparkSession, sf_dir: str) -> Graph:
+    """graph with what real indexes have besides: files and symbols that nothing is tied to, edges to symbols that are gone,
+    without a source symbol, from a symbol to itself, and twice. Symbols have byte spans: 100 bytes a line."""
+    g = graph(spark, sf_dir)
+    region, nation, customer = (read(spark, sf_dir, n) for n in ("region", "nation", "customer"))
+    lower = lambda c: F.replace(F.lower(c), F.lit(" "), F.lit("_"))
+    own = region.select((F.col("r_regionkey") + 26).cast("long").alias("file_id"), F.concat(F.lit("./lib/"), lower("r_name"), F.lit("/auth_index.py")).alias("path"))
+    symbol = lambda df, base, key, file_id, name, kind, start, end: df.select((F.lit(base) + F.col(key)).cast("long").alias("symbol_id"), file_id.cast("long").alias("file_id"), name.alias("name"), F.lit(kind).alias("kind"), start.cast("long").alias("start_line"), end.cast("long").alias("end_line"))
+    types = symbol(region, 40_000_000, "r_regionkey", F.col("r_regionkey") + 26, F.concat(F.lit("notify_"), lower("r_name")), "class", F.lit(1), F.lit(99))
+    methods = symbol(nation, 41_000_000, "n_nationkey", F.col("n_regionkey") + 26, F.concat(F.lit("get_"), lower("n_name")), "method", F.col("n_nationkey") * 3 + 2, F.col("n_nationkey") * 3 + 3)
+    symbols_ = g.symbols.unionByName(types).unionByName(methods)
+    symbols_ = symbols_.withColumns({"start_byte": F.col("start_line") * 100, "end_byte": F.col("end_line") * 100 + 99})
+    home, me, key = (F.col("c_nationkey") + 1).cast("long"), (20_000_000 + F.col("c_custkey")).cast("long"), F.col("c_custkey")
+    edge = lambda df, source, target, kind: df.select(home.alias("source_file_id"), source.alias("source_symbol_id"), target.cast("long").alias("target_symbol_id"), F.lit(kind).alias("kind"), F.lit("static").alias("edge_type"), F.lit(1.0).alias("confidence"))
+    gone = edge(customer.where("c_custkey % 50 = 0"), me, 90_000_000 + key, "calls")
+    open_ = edge(customer.where("c_custkey % 40 = 1"), F.lit(None).cast("long"), 10_000_001 + key % 7, "interaction")
+    loops = edge(customer.where("c_custkey % 60 = 7"), me, me, "calls")
+    return Graph(g.files.unionByName(own), symbols_, g.edges.unionByName(gone).unionByName(open_).unionByName(loops))
+
+
+def symbol_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(symbol_id, model_id, embedding, body_hash): the vectors as those of suppliers' symbols, of two models."""
+    model = F.when(F.col("label") % 2 == 0, "local").otherwise("remote")
+    return read(spark, sf_dir, "embeddings").select((10_000_001 + F.col("vec_id")).cast("long").alias("symbol_id"), model.alias("model_id"), "embedding", F.sha2(F.col("label").cast("string"), 256).alias("body_hash"))
+
+
 def relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One raw reference per line item: rel_id, file_id, name, line_number, kind."""
     flag = F.col("l_returnflag")
     kind = F.when(flag == "A", "calls").when(flag == "N", "imports").otherwise("method_call")
     joined = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     joined = joined.join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(read(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    return joined.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long").alias("rel_id"), (F.col("c_nationkey").cast("long") + 1).alias("file_id"), F.col("s_name").alias("name"), F.col("l_linenumber").cast("long").alias("line_number"), kind.alias("kind"))
+    return joined.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long").alias("rel_id"), (F.col("c_nationkey").cast("long") + 1).alias("file_id"), F.col("s_name").alias("name"), (F.col("l_linenumber").cast("long") * 4).alias("line_number"), kind.alias("kind"))
 
 
 def tool_events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,6 +42,13 @@ def stale_counts(indexed: DataFrame, current: DataFrame) -> DataFrame:
     return indexed.select("path", "content_hash").join(now, "path", "left").agg(F.count_if(stale).alias("stale"), F.count("*").alias("checked"))
 
 
+def stale_files(indexed: DataFrame, current: DataFrame, limit: int = 100) -> DataFrame:
+    """(path) of indexed files that are gone or differ, in order, `limit` of them."""
+    now = current.select("path", F.col("content_hash").alias("now"))
+    rows = indexed.where("content_hash is not null").join(now, "path", "left")
+    return rows.where(~F.col("content_hash").eqNullSafe(F.col("now"))).select("path").orderBy("path").limit(limit)
+
+
 def freshness(counts: DataFrame) -> DataFrame:
     return counts.withColumn("status", F.when(F.col("checked") == 0, "not_indexed").when(F.col("stale") > 0, "stale").otherwise("healthy"))
 
