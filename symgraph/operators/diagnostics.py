@@ -125,6 +125,12 @@ def _method(t: Tables):
     return status, found | _n(t.relationships.where("kind = 'method_call' and state in ('Missing', 'Dynamic', 'Ambiguous')"), "unresolved")
 
 
+def unresolved_samples(relationships: DataFrame, limit: int = 10) -> DataFrame:
+    """(rel_id, name, state, severity) of method calls that nothing explains, the first of them: open ones are Info, others Warning."""
+    rows = relationships.where("kind = 'method_call' and state in ('Missing', 'Dynamic', 'Ambiguous')").orderBy("rel_id").limit(limit)
+    return rows.select("rel_id", "name", "state", F.when(F.col("state") == "Dynamic", "Info").otherwise("Warning").alias("severity"))
+
+
 def _health(t: Tables):
     found = {k: float(x) for k, x in contract_violations(t.relationships).first().asDict().items()}
     return "Fail" if any(found.values()) else "Pass", found

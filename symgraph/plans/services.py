@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from symgraph.functions import scalars
 from symgraph.functions import vocabulary as v
-from symgraph.operators import classify, context, features, flow, knowledge, paths, relational, retrieval, search, subsystem
+from symgraph.operators import classify, context, features, flow, knowledge, paths, relational, resolver, retrieval, search, subsystem
 from symgraph.plans.catalogue import _CONCEPTS, _LABELS, _PAGERANK, ROUGH_SQL, _add, _arcs, _over_graph, _over_rough, _over_table, _quoted
-from symgraph.sources import adapter
+from symgraph.sources import adapter, index
 
 # features -------------------------------------------------------------------------------------------------------------
 
@@ -242,3 +242,38 @@ _over_table("documents", "path_helpers", "SELECT doc_id, concat('a.', doc_id) AS
 )
 _over_table("embeddings", "vector_codec", "SELECT vec_id, len(embedding) AS n, CAST(embedding[1] AS DOUBLE) AS first FROM embeddings")(lambda e: e.select("vec_id", scalars.vector_of(scalars.blob_of(F.col("embedding"))).alias("x")).select("vec_id", F.size("x").cast("long").alias("n"), F.col("x")[0].cast("double").alias("first")))
 _over_graph("subtree_capped", ", both_ways AS (SELECT source_symbol_id AS a, target_symbol_id AS b FROM edges UNION SELECT target_symbol_id, source_symbol_id FROM edges), t AS (WITH RECURSIVE r(node, level) AS (SELECT CAST(20000001 AS BIGINT), 0 UNION SELECT b, level + 1 FROM r JOIN both_ways ON a = node WHERE level < 2) SELECT node, CAST(min(level) AS BIGINT) AS level FROM r GROUP BY 1) FROM t ORDER BY level, node LIMIT 100")(lambda g: paths.subtree(g.edges, g.symbols.where("symbol_id = 20000001").select(F.col("symbol_id").alias("node")), 2)[0])
+
+# resolver, cycles, index ----------------------------------------------------------------------------------------------
+
+_ANY_QUERIES = "q AS (SELECT name AS query FROM rsymbols WHERE symbol_id % 400 = 5 UNION SELECT path FROM rfiles UNION SELECT 'auth_index.py' UNION SELECT 'notif' UNION SELECT 'NATION_1.ts' UNION SELECT 'Packages/ASIA/' UNION SELECT 'nothing here')"
+
+
+def _any_queries(g: adapter.Graph) -> DataFrame:
+    fixed = ["auth_index.py", "notif", "NATION_1.ts", "Packages/ASIA/", "nothing here"]
+    return g.symbols.where("symbol_id % 400 = 5").select(F.col("name").alias("query")).union(g.files.select("path")).union(g.files.limit(1).select(F.explode(F.array(*map(F.lit, fixed)))))
+
+
+_over_rough("resolve_any", f""", {_ANY_QUERIES}, k AS (SELECT query, lower(query) AS low, rtrim(regexp_replace(query, '^(\\./|/)+', ''), '/') AS key FROM q), sy AS (SELECT query, count(DISTINCT (file_id, start_line, end_line)) FILTER (s.name = query) AS e, count(DISTINCT (file_id, start_line, end_line)) FILTER (lower(s.name) = low) AS f FROM k LEFT JOIN rsymbols s ON lower(s.name) = low GROUP BY 1),
+pt AS (SELECT query, count(*) FILTER (p = key) AS n1, count(*) FILTER (p = key OR suffix(p, '/' || key)) AS n2, count(*) FILTER (d = key OR suffix(d, '/' || key)) AS n3 FROM k, (SELECT substr(path, 3) AS p, regexp_replace(substr(path, 3), '/[^/]*$', '') AS d FROM rfiles) GROUP BY 1),
+all_ AS (SELECT query, low, COALESCE(nullif(e, 0), f) AS s, n1, n2, n3, CASE WHEN n1 > 0 THEN n1 WHEN n2 > 0 THEN n2 ELSE n3 END AS p FROM k JOIN sy USING (query) JOIN pt USING (query)),
+fx AS (SELECT *, (CASE WHEN {" OR ".join(f"contains(low, '{w}') OR contains('{w}', low)" for w in v.CONCEPTS['auth'])} THEN 1 ELSE 0 END + CASE WHEN {" OR ".join(f"contains(low, '{w}') OR contains('{w}', low)" for w in v.CONCEPTS['notifications'])} THEN 1 ELSE 0 END
+  + CASE WHEN {" OR ".join(f"contains(low, '{w}') OR contains('{w}', low)" for w in v.CONCEPTS['realtime'])} THEN 1 ELSE 0 END + CASE WHEN {" OR ".join(f"contains(low, '{w}') OR contains('{w}', low)" for w in v.CONCEPTS['database'])} THEN 1 ELSE 0 END) AS f, CASE WHEN low = 'packages/asia/' THEN (SELECT count(*) FROM rfiles WHERE contains(path, '/asia/')) ELSE 0 END AS d FROM all_)
+SELECT query, CASE WHEN s > 0 THEN 'symbol' WHEN p > 0 THEN 'path' WHEN f > 0 THEN 'feature' WHEN d > 0 THEN 'subsystem' END AS stage, CASE WHEN s = 1 THEN 'Symbol' WHEN s > 1 THEN 'Ambiguous' WHEN n1 = 1 OR (n1 = 0 AND n2 = 1) THEN 'File' WHEN n1 + n2 > 0 THEN 'Ambiguous' WHEN n3 > 0 THEN 'Directory' WHEN f > 0 THEN 'Feature' WHEN d > 0 THEN 'Subsystem' ELSE 'NotFound' END AS outcome,
+  CAST(CASE WHEN s > 0 THEN s WHEN p > 0 THEN p WHEN f > 0 THEN f ELSE d END AS BIGINT) AS n, CAST(CASE WHEN s > 0 THEN 95 WHEN p > 0 THEN 90 WHEN f > 0 THEN 70 WHEN d > 0 THEN 65 ELSE 0 END AS BIGINT) AS score, CASE WHEN s > 0 OR p > 0 THEN 'High' WHEN f > 0 OR d > 0 THEN 'Medium' ELSE 'Low' END AS label FROM fx""")(lambda g: resolver.resolve_any(_any_queries(g), g.symbols, g.files))
+_over_rough("universal_nodes", " SELECT path AS query, 'File' AS node_kind, file_id AS node_id, path AS name FROM rfiles UNION ALL SELECT name, 'Symbol', symbol_id, name FROM rsymbols WHERE symbol_id >= 40000000 UNION ALL SELECT 'nothing here', 'Unknown', NULL, NULL")(
+    lambda g: resolver.universal(g.files.select(F.col("path").alias("query")).union(g.symbols.where("symbol_id >= 40000000").select("name")).union(g.files.limit(1).select(F.lit("nothing here"))), g.symbols, g.files)
+)
+_FILE_ARCS = ", a AS (SELECT DISTINCT source_file_id AS s, file_id AS d FROM redges e JOIN rsymbols ON symbol_id = target_symbol_id WHERE source_file_id <> file_id AND e.kind = 'inherits' AND source_symbol_id % 7 = 0)"
+
+
+def _file_arcs(g: adapter.Graph) -> DataFrame:
+    """Arcs between files, from one inherits edge in seven."""
+    return g.edges.where("kind = 'inherits' and source_symbol_id % 7 = 0").join(g.symbols, F.col("target_symbol_id") == F.col("symbol_id")).select(F.col("source_file_id").alias("src"), F.col("file_id").alias("dst"))
+
+
+_over_rough("file_cycles", _FILE_ARCS + ", c AS (SELECT 2 AS length, [x.s, x.d] AS nodes FROM a x JOIN a y ON y.s = x.d AND y.d = x.s WHERE x.s < x.d UNION ALL SELECT 3, [x.s, y.s, z.s] FROM a x JOIN a y ON y.s = x.d JOIN a z ON z.s = y.d AND z.d = x.s WHERE x.s < y.s AND x.s < z.s AND y.s <> z.s) SELECT CAST(length AS BIGINT) AS length, array_to_string(nodes, '>') AS nodes FROM c ORDER BY length, c.nodes LIMIT 500")(lambda g: resolver.cycles(_file_arcs(g), 3).select("length", F.array_join(F.transform("nodes", lambda x: x.cast("string")), ">").alias("nodes")))
+_over_rough("cyclic_files", _FILE_ARCS + ", r AS (WITH RECURSIVE t(x, y) AS (SELECT s, d FROM a UNION SELECT t.x, a.d FROM t JOIN a ON t.y = a.s) FROM t) SELECT x AS node, min(y) AS component FROM r WHERE EXISTS (SELECT 1 FROM r b WHERE b.x = r.y AND b.y = r.x) GROUP BY 1")(lambda g: paths.strong_components(_file_arcs(g)))
+_over_rough("logical_edges", " SELECT file_id AS source_file_id, symbol_id AS source_symbol_id, 41000000 + symbol_id % 25 AS target_symbol_id, 'interaction' AS kind, 'logical' AS edge_type, CAST(0.7 AS DOUBLE) AS confidence, '{\"literal\":\"/api/x\"}' AS metadata FROM rsymbols WHERE kind = 'function'")(lambda g: resolver.logical_edges(g.symbols.where("kind = 'function'").select("symbol_id", F.lit("/api/x").alias("literal"), (41_000_000 + F.col("symbol_id") % 25).alias("route_id")), g.symbols))
+_over_rough("file_ids", " SELECT path, file_id FROM rfiles UNION ALL SELECT '/repo' || substr(path, 2), file_id FROM rfiles WHERE file_id % 2 = 0 UNION ALL SELECT 'none', NULL")(lambda g: index.file_ids(g.files.select("path").union(g.files.where("file_id % 2 = 0").select(F.concat(F.lit("/repo/x/../"), F.expr("substring(path, 3)")))).union(g.files.limit(1).select(F.lit("none"))), g.files, "/repo").withColumn("path", F.replace("path", F.lit("/x/..")  , F.lit(""))))
+_over_rough("ignored_files", " SELECT path FROM rfiles WHERE NOT (contains(path, '/asia/') AND NOT suffix(path, '_1.ts')) AND NOT contains(path, 'auth_index')")(lambda g: index.kept(g.files, ["# rules", "**/asia/*", "!*_1.ts", "/lib/**/auth_*.py"]).select("path"))
+_over_rough("migrated_edges", " SELECT source_file_id, source_symbol_id, target_symbol_id, kind, 'static' AS edge_type, CAST(NULL AS VARCHAR) AS metadata, CAST(1 AS DOUBLE) AS confidence FROM redges WHERE kind = 'inherits'")(lambda g: index.migrated("edges", g.edges.where("kind = 'inherits'").drop("edge_type", "confidence").withColumn("old", F.lit(1))).withColumn("metadata", F.col("metadata").cast("string")))

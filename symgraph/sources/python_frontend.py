@@ -118,6 +118,48 @@ def references_of(tree: ast.AST) -> list[dict]:
     return [{"name": n, "source": s, "line_number": line, "kind": k} for (n, k, line), s in first.items()]
 
 
+def bindings_of(tree: ast.AST) -> list[dict]:
+    """Types of variables, fields (context: the class) and functions where annotated by a plain name, aliases, calls assigned, imports renamed. Built-in types are left out."""
+    out = []
+    fields = {id(n): c.name for c in ast.walk(tree) if isinstance(c, ast.ClassDef) for n in c.body if isinstance(n, ast.AnnAssign)}
+
+    def bind(kind: str, name: str, type_name: str, context: str | None = None) -> None:
+        if kind in ("alias", "import_alias", "assignment") or type_name not in PLAIN_TYPES:
+            out.append({"kind": kind, "name": name, "type_name": type_name, "context": context})
+
+    for n in sorted((n for n in ast.walk(tree) if hasattr(n, "lineno")), key=lambda n: (n.lineno, n.col_offset)):
+        if isinstance(n, ast.AnnAssign) and isinstance(n.target, ast.Name) and isinstance(n.annotation, ast.Name):
+            bind("field_type" if id(n) in fields else "var_type", n.target.id, n.annotation.id, fields.get(id(n)))
+        elif isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)) and isinstance(n.returns, ast.Name):
+            bind("return_type", n.name, n.returns.id)
+        elif isinstance(n, ast.Assign) and isinstance(n.targets[0], ast.Name):
+            name = n.targets[0].id
+            if isinstance(n.value, ast.Name) and n.value.id != name:
+                bind("alias", name, n.value.id)
+        elif isinstance(n, ast.ImportFrom):
+            for a in n.names:
+                if a.asname:
+                    bind("import_alias", a.asname, a.name)
+    return out
+
+
+def parse_bindings(files: DataFrame) -> DataFrame:
+    """(path, kind, name, type_name, context) of the Python files of a table (path, content)."""
+    kinds = "path string, kind string, name string, type_name string, context string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+                try:
+                    rows += [{"path": path} | b for b in bindings_of(ast.parse(content or ""))]
+                except (SyntaxError, ValueError, RecursionError):
+                    continue
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([(c, pa.string()) for c in ("path", "kind", "name", "type_name", "context")]))
+
+    return files.where(F.col("path").endswith(".py")).select("path", "content").mapInArrow(run, kinds)
+
+
 def parse(files: DataFrame) -> DataFrame:
     """(path, symbols, relationships) of the Python files of a table (path, content). Files that don't parse, or have no content, have empty lists."""
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -14,5 +14,6 @@ def event_stream(spark: SparkSession, folder: str, schema) -> DataFrame:
 
 
 def hourly_stream(events: DataFrame, late: str = "2 hours") -> DataFrame:
-    windows = events.withWatermark("created_at", late).groupBy(F.window("created_at", "1 hour"))
+    timed = events.withColumn("created_at", F.col("created_at").cast("timestamp"))  # a watermark needs an instant; times without a zone are the session's
+    windows = timed.withWatermark("created_at", late).groupBy(F.window("created_at", "1 hour"))
     return windows.agg(F.count("*").alias("calls"), F.sum("token_reduction").alias("saved")).select(F.col("window.start").alias("hour"), "calls", "saved")
