@@ -16,7 +16,7 @@ def union(tables: list[DataFrame]) -> DataFrame:
 
 def levels(arcs: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     """(node, level) of nodes that arcs (src, dst) reach within depth, start (node) being level 0. Each level is written once, as a table of its own."""
-    arcs = materialize(arcs.where("src is not null").select("src", "dst").distinct(), "arcs")
+    arcs = materialize(arcs.where("src is not null").select("src", "dst"), "arcs")  # repeated arcs do no harm
     tables = [materialize(start.select("node").distinct().withColumn("level", F.lit(0)), "level")]
     for level in range(1, depth + 1):
         found = tables[-1].select(F.col("node").alias("src")).join(arcs, "src").select(F.col("dst").alias("node")).distinct()
