@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from symgraph.functions.tables import materialize
 from symgraph.operators import classify, diagnostics, iterative, linking, manifest, paths, relational, resolve
 from symgraph.plans.catalogue import _LABELS, _add, _arcs, _over_graph, _over_rough, _over_table, _start
 from symgraph.sources import adapter, repository
@@ -101,8 +102,11 @@ def file_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 _over_graph("explore_nodes", ", t AS (WITH RECURSIVE r(node, level) AS (SELECT CAST(20000001 AS BIGINT), 0 UNION SELECT target_symbol_id, level + 1 FROM r JOIN edges ON source_symbol_id = node WHERE level < 2) SELECT node, CAST(min(level) AS BIGINT) AS level FROM r GROUP BY 1) SELECT node, level FROM t ORDER BY 2, 1 LIMIT 200")(lambda g: paths.explore(g.edges, _start(g), 2)[0])
 #: Customer 1 orders from a supplier, whose part types lead to parts: two steps, by the lowest supplier that has the part.
 _over_graph("shortest_path", ", t AS (SELECT min(a.target_symbol_id) AS mid FROM edges a JOIN edges b ON b.source_symbol_id = a.target_symbol_id WHERE a.source_symbol_id = 20000001 AND b.target_symbol_id = 30000001), p AS (SELECT unnest([0, 1, 2]) AS step, unnest([20000001, mid, 30000001]) AS node FROM t) SELECT CAST(step AS BIGINT) AS step, CAST(node AS BIGINT) AS node FROM p")(lambda g: paths.shortest_path(_arcs(g.edges), 20000001, 30000001))
-_over_graph("cyclic_groups", None)(lambda g: paths.cyclic_groups(g.files, g.symbols, g.edges))
-_over_graph("subsystem_members", None)(lambda g: paths.discover_subsystem(g.symbols, g.edges, g.symbols.where("name = 'Supplier#000000003'")))
+#: Every circle has a supplier in it: what suppliers reach and are reached by.
+_over_graph("cyclic_groups", """, arcs AS (SELECT DISTINCT source_symbol_id AS s, target_symbol_id AS t FROM edges WHERE source_symbol_id NOT BETWEEN 20000000 AND 29999999 AND source_symbol_id <> target_symbol_id), fw AS (WITH RECURSIVE r(x, y) AS (SELECT symbol_id, symbol_id FROM symbols WHERE kind = 'function' UNION SELECT x, t FROM r JOIN arcs ON s = y) FROM r), bw AS (WITH RECURSIVE r(x, y) AS (SELECT symbol_id, symbol_id FROM symbols WHERE kind = 'function' UNION SELECT x, s FROM r JOIN arcs ON t = y) FROM r),
+mutual AS (FROM fw JOIN bw USING (x, y)), least AS (SELECT x, min(y) AS component FROM mutual GROUP BY 1 HAVING count(*) > 1), member AS (SELECT DISTINCT component, y FROM mutual JOIN least USING (x)) SELECT component, count(*) AS size, count(DISTINCT file_id) AS files, count(DISTINCT file_id) > 1 AS cross_file FROM member JOIN symbols ON symbol_id = y GROUP BY 1""")(lambda g: paths.cyclic_groups(g.files, g.symbols, g.edges))
+_HOP = ", f{i} AS (SELECT a FROM (SELECT a, count(*) AS bonds FROM both_ways WHERE b IN (SELECT symbol_id FROM m{h}) AND a NOT IN (SELECT symbol_id FROM m{h}) AND a IN (SELECT a FROM both_ways WHERE b IN (SELECT symbol_id FROM m{h} WHERE hop = {h})) AND a IN (SELECT symbol_id FROM symbols WHERE kind <> 'variable') GROUP BY 1) JOIN deg USING (a) WHERE bonds >= 3 OR bonds >= 0.3 * greatest(total, 1)), m{i} AS (FROM m{h} UNION ALL SELECT a, {i} FROM f{i})"
+_over_graph("subsystem_members", ", both_ways AS (SELECT source_symbol_id AS a, target_symbol_id AS b FROM edges UNION ALL SELECT target_symbol_id, source_symbol_id FROM edges), deg AS (SELECT a, count(*) AS total FROM both_ways GROUP BY 1), m0 AS (SELECT symbol_id, 0 AS hop FROM symbols WHERE name = 'Supplier#000000003')" + "".join(_HOP.format(i=i, h=i - 1) for i in (1, 2, 3)) + " SELECT symbol_id, file_id, hop FROM m3 JOIN symbols USING (symbol_id)")(lambda g: paths.discover_subsystem(g.symbols, g.edges, g.symbols.where("name = 'Supplier#000000003'")))
 
 # diagnostics ----------------------------------------------------------------------------------------------------------
 
@@ -158,12 +162,39 @@ _over_graph("duplicate_definitions", "SELECT file_id, name, kind, start_line, co
 _over_rough("excess_edges", "SELECT CAST(COALESCE(sum(n - 1), 0) AS BIGINT) AS excess FROM (SELECT count(*) AS n FROM redges GROUP BY source_file_id, source_symbol_id, target_symbol_id, kind, edge_type)")(lambda g: diagnostics.excess_edges(g.edges))
 
 
-@_add("diagnostics", None)
+_DIAGNOSED = """, be AS (SELECT DISTINCT file_id AS source_file_id, enclosing AS source_symbol_id, first AS target_symbol_id, kind FROM states WHERE state = 'RepositorySymbol' AND enclosing IS DISTINCT FROM first), feats AS (SELECT symbol_id FROM symbols WHERE symbol_id % 10 <> 0),
+ends AS (SELECT source_symbol_id AS symbol_id FROM be WHERE source_symbol_id IS NOT NULL UNION SELECT target_symbol_id FROM be), origin AS (SELECT count(*) AS calls, count(*) FILTER (state = 'RepositorySymbol') AS own FROM states WHERE kind = 'method_call'),
+dir_arcs AS (SELECT DISTINCT regexp_replace(a.path, '/[^/]*$', '') AS x, regexp_replace(b.path, '/[^/]*$', '') AS y FROM be e JOIN files a ON source_file_id = a.file_id JOIN symbols s ON target_symbol_id = symbol_id JOIN files b ON s.file_id = b.file_id WHERE e.kind IN ('calls', 'imports')),
+layered AS (SELECT CASE WHEN sum(i) = 0 THEN 'Presentation' WHEN sum(o) = 0 THEN 'Infrastructure' ELSE 'Business' END AS layer FROM (SELECT x AS directory, 1 AS o, 0 AS i FROM dir_arcs WHERE x <> y UNION ALL SELECT y, 0, 1 FROM dir_arcs WHERE x <> y) GROUP BY directory),
+n AS (SELECT (SELECT count(*) FROM files) AS files, (SELECT count(*) FROM symbols) AS symbols, (SELECT count(*) FROM states) AS refs, (SELECT count(*) FROM states WHERE state = 'RepositorySymbol') AS typed, (SELECT count(*) FROM (SELECT 1 FROM symbols GROUP BY file_id, name, kind, start_line HAVING count(*) > 1)) AS dups,
+  (SELECT count(DISTINCT source_symbol_id) FROM be) AS sources, (SELECT count(*) FROM be) AS edges, (SELECT count(*) FROM feats) AS feats, (SELECT count(*) FROM ends) AS reached, (SELECT count(*) FROM states WHERE kind = 'method_call' AND state IN ('Missing', 'Dynamic', 'Ambiguous')) AS open_calls, (SELECT count(*) FROM states WHERE state IN ('Missing', 'Dynamic')) AS unreasoned,
+  (SELECT count(*) FROM states s WHERE state = 'RepositorySymbol' AND NOT EXISTS (SELECT 1 FROM be e WHERE e.source_file_id = s.file_id AND e.kind = s.kind)) AS unbacked, (SELECT count(*) FROM ends WHERE symbol_id NOT IN (FROM feats)) AS featureless, calls, own FROM origin),
+wide AS (SELECT 0 AS place, 'Parser' AS stage, 'Pass' AS status, [NULL] AS names, [NULL] AS vals FROM n
+UNION ALL SELECT 1, 'Completeness', 'Pass', ['edge_coverage', 'without_file', 'without_span'], [round(100.0 * sources / symbols, 6), 0, 0] FROM n
+UNION ALL SELECT 2, 'Parser', CASE WHEN dups > 0 THEN 'Warning' ELSE 'Pass' END, ['duplicates', 'files', 'relationships', 'symbols', 'unnamed'], [dups, files, refs, symbols, 0] FROM n
+UNION ALL SELECT 3, 'Semantic', 'Pass', ['bindings_variable', 'orphaned'], [refs, 0] FROM n
+UNION ALL SELECT 4, 'Flow', CASE WHEN 100.0 * typed / refs < 5 THEN 'Warning' ELSE 'Pass' END, ['typed', 'typed_percent', 'variables'], [typed, CAST(100 AS DOUBLE) * typed / refs, refs] FROM n
+UNION ALL SELECT 5, 'Receiver', CASE WHEN 100.0 * own / calls < 20 THEN 'Warning' ELSE 'Pass' END, ['builtin', 'calls', 'deterministic_percent', 'external_imports', 'local_variables', 'repository_imports', 'standard_library', 'unknown'], [0, calls, round(100.0 * own / calls, 6), 0, own, 0, 0, calls - own] FROM n
+UNION ALL SELECT 6, 'Method', CASE WHEN 100.0 * own / calls < 20 THEN 'Warning' ELSE 'Pass' END, ['builtin', 'calls', 'deterministic_percent', 'external_imports', 'local_variables', 'repository_imports', 'standard_library', 'unknown', 'unresolved'], [0, calls, round(100.0 * own / calls, 6), 0, own, 0, 0, calls - own, open_calls] FROM n
+UNION ALL SELECT 7, 'PipelineHealth', CASE WHEN unreasoned > 0 THEN 'Fail' ELSE 'Pass' END, ['builtin_evidence', 'external_evidence', 'missing_without_reason', 'repository_without_evidence'], [0, 0, unreasoned, 0] FROM n
+UNION ALL SELECT 8, 'ResolutionQuality', 'Pass', list_prepend('evidence_LexicalScopeMatch', list('state_' || state)), list_prepend(max(typed), list(c)) FROM (SELECT state, count(*) AS c FROM states GROUP BY 1), n
+UNION ALL SELECT 9, 'Graph', 'Pass', ['dangling', 'duplicates', 'rebuilt', 'stored'], [0, 0, edges, edges] FROM n
+UNION ALL SELECT 10, 'FeatureExtraction', CASE WHEN feats < symbols THEN 'Warning' ELSE 'Pass' END, ['coverage_percent', 'entrypoints', 'symbols', 'with_features'], [CAST(100 AS DOUBLE) * feats / symbols, 0, symbols, feats] FROM n
+UNION ALL SELECT 11, 'Retrieval', CASE WHEN 100.0 * reached / symbols < 90 THEN 'Warning' ELSE 'Pass' END, ['communities', 'reachable', 'symbols', 'traversal_percent'], [0, reached, symbols, CAST(100 AS DOUBLE) * reached / symbols] FROM n
+UNION ALL SELECT 12, 'Consistency', CASE WHEN unbacked + featureless > 0 THEN 'Fail' ELSE 'Pass' END, ['unbacked', 'without_features'], [unbacked, featureless] FROM n
+UNION ALL SELECT 13, 'DeveloperIntelligence', 'Pass', list('layer_' || layer), list(c) FROM (SELECT layer, count(*) AS c FROM layered GROUP BY 1))
+SELECT CAST(place AS INTEGER) AS place, stage, status, CAST(unnest(names) AS VARCHAR) AS metric, CAST(unnest(vals) AS DOUBLE) AS value FROM wide"""
+
+
+@_add("diagnostics", _DIAGNOSED)
 def diagnose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over an index whose edges are those of its references and of which every tenth symbol has no features."""
     g, rel = adapter.graph(spark, sf_dir), _resolved(spark, sf_dir)
+    rel = materialize(rel, "resolved")
+    edges = relational.built_edges(rel.drop("state"), g.symbols).withColumns({"edge_type": F.lit("static"), "confidence": F.lit(1.0)})
     bindings = rel.select("file_id", F.lit("variable").alias("kind"), "name", F.when(F.col("state") == "RepositorySymbol", F.col("name")).alias("type_name"))
     manifest = spark.range(1).select("id", F.lit(diagnostics.PIPELINE_VERSION).alias("version"))
-    return diagnostics.run(spark, diagnostics.Tables(g.files, g.symbols, g.edges, rel, bindings, g.symbols.select("symbol_id"), manifest))
+    return diagnostics.run(spark, diagnostics.Tables(g.files, g.symbols, materialize(edges, "edges"), rel, bindings, g.symbols.where("symbol_id % 10 <> 0").select("symbol_id"), manifest))
 
 
 # manifest, links, incremental work ------------------------------------------------------------------------------------
