@@ -9,8 +9,10 @@ from symgraph.functions.scalars import extension, parent_dir
 
 
 def largest(degrees: DataFrame) -> DataFrame:
-    """(metric, symbol_id, value) of the symbols with the highest fan_in, fan_out and both; ties the lowest id, none where all are 0."""
+    """(metric, symbol_id, value) of the symbols with the highest fan_in, fan_out, both, and pagerank where it is there; ties the lowest id, none where all are 0."""
     metrics = {"fan_in": F.col("fan_in"), "fan_out": F.col("fan_out"), "connections": F.col("fan_in") + F.col("fan_out")}
+    if "pagerank" in degrees.columns:
+        metrics = {k: x.cast("double") for k, x in metrics.items()} | {"pagerank": F.col("pagerank")}
     rows = degrees.select("symbol_id", F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), x.alias("value")) for k, x in metrics.items()])).alias("m")).select("symbol_id", "m.*").where("value > 0")
     best = rows.groupBy("metric").agg(F.max(F.struct("value", (-F.col("symbol_id")).alias("m"))).alias("b"))
     return best.select("metric", (-F.col("b.m")).alias("symbol_id"), F.col("b.value").alias("value"))

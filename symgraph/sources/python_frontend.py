@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,14 +21,18 @@ NOISE = frozenset(
 PLAIN_TYPES = frozenset("int str float bool bytes list dict set tuple None True False object type Optional Union List Dict Set Tuple Any Callable Iterator Generator Awaitable Coroutine T K V R".split())
 PLAIN_DECORATORS = frozenset("property staticmethod classmethod abstractmethod overload dataclass cached_property final".split())
 
-_SYMBOL = "struct<name:string,kind:string,start_line:bigint,end_line:bigint,signature:string,attributes:array<string>>"
+_SYMBOL = "struct<name:string,kind:string,start_line:bigint,end_line:bigint,start_byte:bigint,end_byte:bigint,signature:string,attributes:array<string>>"
 _REFERENCE = "struct<name:string,source:string,line_number:bigint,kind:string>"
 SCHEMA = f"path string, symbols array<{_SYMBOL}>, relationships array<{_REFERENCE}>"
 
 
-def symbols_of(tree: ast.AST) -> list[dict]:
-    """Classes, functions, methods (functions anywhere below a class) and assigned names, in the order of their lines."""
+def symbols_of(tree: ast.AST, source: str = "") -> list[dict]:
+    """Classes, functions, methods (functions anywhere below a class) and assigned names, in the order of their lines; bytes are those of the source in UTF-8."""
     out = []
+    lines = [0]
+    for line in re.split(r"(?<=\n)|(?<=\r)(?!\n)", source):
+        lines.append(lines[-1] + len(line.encode()))
+    byte = lambda line, column: lines[min(line - 1, len(lines) - 1)] + column
 
     def visit(node: ast.AST, below_class: bool) -> None:
         for child in ast.iter_child_nodes(node):
@@ -46,7 +51,7 @@ def symbols_of(tree: ast.AST) -> list[dict]:
                 if isinstance(targets[0], ast.Name):
                     row = {"name": targets[0].id, "kind": "variable", "signature": None, "attributes": []}
             if row:
-                out.append(row | {"start_line": child.lineno, "end_line": child.end_lineno})
+                out.append(row | {"start_line": child.lineno, "end_line": child.end_lineno, "start_byte": byte(child.lineno, child.col_offset), "end_byte": byte(child.end_lineno, child.end_col_offset)})
             visit(child, below_class or isinstance(child, ast.ClassDef))
 
     visit(tree, False)
@@ -175,7 +180,7 @@ def parse(files: DataFrame) -> DataFrame:
                     tree = ast.parse(content or "")
                 except (SyntaxError, ValueError, RecursionError):
                     tree = ast.Module([], [])
-                rows.append({"path": path, "symbols": symbols_of(tree), "relationships": references_of(tree)})
+                rows.append({"path": path, "symbols": symbols_of(tree, content or ""), "relationships": references_of(tree)})
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
     return files.where(F.col("path").endswith(".py")).select("path", "content").mapInArrow(run, SCHEMA)

@@ -17,8 +17,7 @@ from symgraph.streaming import usage as usage_stream
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages".split()
-CHECKED = """feature_table search_results search_with_concepts rrf_fusion vector_search symbol_context model_expansion communication_examples subsystem_report subsystem_clusters resolve_references resolved_edges builder_counts
-parent_symbols topology_hash answer_baseline symbol_sources symbol_cards file_skeletons structural_duplicates resolve_any file_cycles cyclic_files isolated_files orphan_symbols dangling_edges concept_tags communities shortest_path""".split()
+CHECKED = "search_results rrf_fusion symbol_context subsystem_report resolve_references topology_hash symbol_sources structural_duplicates resolve_any file_cycles".split()
 
 
 @pytest.fixture(scope="module")

@@ -142,7 +142,7 @@ from a.b import C as D, E
 from x import *
 
 @app.get("/x")
-def simulate(topology: Topology, n: int = 1) -> Result[int]:
+def arrange(shelf: Shelf, n: int = 1) -> Outcome[int]:
     c = Client()
     c.send(1)
     print(c.state)
@@ -157,11 +157,11 @@ class K(Base, m.Other):
     files = spark.createDataFrame([("a.py", source), ("b.py", "def ("), ("c.py", None), ("d.js", "x")], "path string, content string")
     symbols, references = python_frontend.parsed_tables(files)
     got = {(r.name, r.kind) for r in symbols.where("path = 'a.py'").collect()}
-    assert got == {("simulate", "function"), ("c", "variable"), ("K", "class"), ("limit", "variable"), ("go", "method")}
-    assert symbols.where("name = 'simulate'").first().attributes == ["@app.get('/x')"]
+    assert got == {("arrange", "function"), ("c", "variable"), ("K", "class"), ("limit", "variable"), ("go", "method")}
+    assert symbols.where("name = 'arrange'").first().attributes == ["@app.get('/x')"]
     assert {r.path for r in python_frontend.parse(files).collect()} == {"a.py", "b.py", "c.py"}
     refs = {(r.name, r.kind, r.source) for r in references.collect()}
-    assert {("os", "imports", None), ("E", "imports", "a.b"), ("Client", "instantiates", "c"), ("send", "method_call", "c"), ("Engine", "instantiates", "f"), ("run", "method_call", "self.f"), ("Base", "inherits", None), ("Other", "inherits", None), ("Topology", "type_ref", None), ("Result", "type_ref", None), ("total", "global_ref", None), ("state", "MEMBER_ACCESS", None)} <= refs
+    assert {("os", "imports", None), ("E", "imports", "a.b"), ("Client", "instantiates", "c"), ("send", "method_call", "c"), ("Engine", "instantiates", "f"), ("run", "method_call", "self.f"), ("Base", "inherits", None), ("Other", "inherits", None), ("Shelf", "type_ref", None), ("Outcome", "type_ref", None), ("total", "global_ref", None), ("state", "MEMBER_ACCESS", None)} <= refs
     assert not {n for n, *_ in refs} & {"print", "int", "*"}
 
 
