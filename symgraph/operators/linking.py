@@ -25,14 +25,15 @@ def route_fragment(literal: Column) -> Column:
 def substring_pairs(texts: DataFrame, parts: DataFrame, gram: int = GRAM) -> DataFrame:
     """Rows of texts (h, text) and parts (n, part) of which the text contains the part; empty and null ones pair with none.
 
-    A part meets only texts that have its first `gram` letters, so that the test is an equality join and no comparison of
-    all with all. Shorter parts meet texts by all their letters.
+    A part meets only texts that have one of its runs of `gram` letters, the one that fewest texts have, so that the test is
+    an equality join on a rare key and no comparison of all with all. Parts shorter than that meet texts by all their letters.
     """
-    known = parts.where("part <> ''").select("n", "part", F.substring("part", 1, gram).alias("key"))
-    sizes = F.sequence(F.lit(1), F.lit(gram))
-    own = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - k + 1, F.lit(1))), lambda i: F.substr(F.col("text"), i, k))
-    keyed = texts.where("text <> ''").select("h", "text", F.explode(F.array_distinct(F.flatten(F.transform(sizes, own)))).alias("key"))
-    return keyed.join(known, "key").where(F.col("text").contains(F.col("part"))).select("h", "n", "text", "part")
+    runs = lambda text, k: F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - k + 1, F.lit(1))), lambda i: F.substr(F.col(text), i, k))
+    keyed = texts.where("text <> ''").select("h", "text", F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(gram)), lambda k: runs("text", k))))).alias("key"))
+    known = parts.where("part <> ''").select("n", "part", F.explode(F.array_distinct(runs("part", F.least(F.length("part"), F.lit(gram))))).alias("key"))
+    counts = keyed.join(known.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.count("*").alias("texts"))
+    rarest = known.join(counts, "key", "left").groupBy("n", "part").agg(F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "key")).alias("k")).select("n", "part", "k.key")
+    return keyed.join(rarest, "key").where(F.col("text").contains(F.col("part"))).select("h", "n", "text", "part")
 
 
 def interactions(contents: DataFrame, routes: DataFrame) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from symgraph.functions.tables import exists, materialize
+
 
 def embedding_work(cards: DataFrame, embedded: DataFrame) -> DataFrame:
     """(symbol_id, body_hash, action): skip what has its vector, reuse the vector of an equal card, embed the rest. Both tables (symbol_id, body_hash)."""
@@ -22,12 +22,28 @@ def latest(files: DataFrame) -> DataFrame:
     return files.groupBy("path").agg(F.max_by(F.struct("*"), "version").alias("r")).select("r.*")
 
 
-def follow(changed: DataFrame, read: Callable[[], DataFrame | None], write: Callable[[DataFrame], None], checkpoint: str):
-    """Start a query that upserts each batch of changed files (path, version, ...) into a table; read gives the table (None at first), write
-    replaces it. A batch that is run again after a failure changes nothing, since of one path the highest version stays."""
+def follow(changed: DataFrame, folder: str, checkpoint: str, buckets: int = 64):
+    """Start a query that upserts each batch of changed files (path, version, ...) into a table in a folder, of each path the highest version.
+
+    The table lies in buckets by a hash of the path (see read_followed); a batch rewrites only the buckets of its paths. A
+    batch that is run again after a failure changes nothing, since of one path the highest version stays.
+    """
 
     def batch(rows: DataFrame, _: int) -> None:
-        old = read()
-        write(latest(rows if old is None else old.unionByName(rows)))
+        spark = rows.sparkSession
+        rows = rows.withColumn("_bucket", F.pmod(F.xxhash64("path"), F.lit(buckets)).cast("int"))
+        touched = [r[0] for r in rows.select("_bucket").distinct().collect()]  # `buckets` numbers at most
+        if not touched:
+            return
+        if exists(spark, folder):
+            old = spark.read.schema(rows.schema).parquet(folder).where(F.col("_bucket").isin(touched))
+            rows = old.unionByName(rows)
+        merged = materialize(latest(rows), "followed")  # read whole before its buckets are replaced
+        merged.repartition("_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(folder)
 
     return changed.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_followed(spark: SparkSession, folder: str) -> DataFrame:
+    """The table that follow keeps."""
+    return spark.read.parquet(folder).drop("_bucket")

@@ -207,12 +207,17 @@ def test_manifest(spark):
 
 
 def test_follow_stream(spark, tmp_path):
-    at, table = str(tmp_path / "in"), []
-    for rows in ([("a", 1, "x"), ("b", 1, "y")], [("a", 2, "z"), ("a", 1, "old")]):
-        spark.createDataFrame(rows, "path string, version long, content string").write.mode("append").parquet(at)
-        stream = spark.readStream.schema("path string, version long, content string").parquet(at)
-        reindex.follow(stream, lambda: spark.createDataFrame(table, "path string, version long, content string") if table else None, lambda df: table.__setitem__(slice(None), df.collect()), str(tmp_path / "checkpoint")).awaitTermination()
-    assert {tuple(r) for r in table} == {("a", 2, "z"), ("b", 1, "y")}
+    at, table = str(tmp_path / "in"), tmp_path / "table"
+    schema = "path string, version long, content string"
+    seen = {}
+    for rows in ([("a", 1, "x"), ("b", 1, "y")] + [(f"p{i}", 1, "q") for i in range(20)], [("a", 2, "z"), ("a", 1, "old")]):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(at)
+        reindex.follow(spark.readStream.schema(schema).parquet(at), str(table), str(tmp_path / "checkpoint"), 8).awaitTermination()
+        before, seen = seen, {p: p.stat().st_mtime_ns for p in table.glob("_bucket=*/*.parquet")}
+    assert {tuple(r) for r in reindex.read_followed(spark, str(table)).where("content <> 'q'").collect()} == {("a", 2, "z"), ("b", 1, "y")}
+    assert reindex.read_followed(spark, str(table)).count() == 22
+    changed = {p.parent.name for p in seen if before.get(p) != seen[p]}
+    assert len(changed) == 1 and len({p.parent.name for p in seen}) > 3  # the bucket of one path
 
 
 def test_labels_and_communities(spark):
