@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401  registers every query
 from symgraph.functions import scalars
-from symgraph.operators import context, diagnostics, flow, knowledge, paths, render, resolver, retrieval, search, subsystem, usage
+from symgraph.functions.tables import materialize
+from symgraph.operators import context, diagnostics, flow, knowledge, paths, relational, render, resolver, retrieval, search, subsystem, usage
 from symgraph.plans import catalogue
 from symgraph.sources import adapter, index, python_frontend, repository, text_frontends
 from symgraph.streaming import feeds
@@ -17,7 +18,7 @@ from symgraph.streaming import usage as usage_stream
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages".split()
-CHECKED = "search_results rrf_fusion symbol_context subsystem_report resolve_references topology_hash symbol_sources structural_duplicates resolve_any file_cycles".split()
+CHECKED = "rrf_fusion subsystem_report topology_hash symbol_sources structural_duplicates resolve_any file_cycles".split()
 
 
 @pytest.fixture(scope="module")
@@ -69,8 +70,7 @@ def test_vector_search_against_brute_force(spark):
 
 def test_search_modes(spark):
     g = adapter.rough(spark, SF)
-    features = catalogue.QUERIES["feature_table"](spark, SF)
-    table = g.symbols.join(features, "symbol_id")
+    table = materialize(relational.degree(g.symbols, g.edges), "features")
     texts = g.files.withColumn("content", F.lit("one notify line\nother\nnotify again"))
     out, used = resolver.dispatch(g.files, table, "notify", "both", texts=texts, limit=500)
     assert used == "both" and out.where("score = 200").count() == 2 * g.files.count()
@@ -94,7 +94,8 @@ def test_variable_types_and_receivers(spark):
     ]
     references = spark.createDataFrame(rel, "rel_id long, file_id long, name string, source string, line_number long, kind string")
     bindings = spark.createDataFrame([(1, 1, "field_type", "drawer", "Till", "Shop"), (2, 1, "alias", "again", "other", None), (3, 1, "alias", "other", "drawer", None)], "binding_id long, file_id long, kind string, name string, type_name string, context string")
-    out = {r.rel_id: r for r in flow.resolve(files, symbols, references, bindings).collect()}
+    resolved = materialize(flow.resolve(files, symbols, references, bindings), "resolved")
+    out = {r.rel_id: r for r in resolved.collect()}
     state = {i: (r.state, r.target) for i, r in out.items()}
     assert state[2] == ("RepositorySymbol", 5) and out[2].evidence == "RepositoryMatch" and out[2].confidence == 1.0
     assert state[3] == ("RepositorySymbol", 3) and state[4] == ("Missing", None) and state[5] == ("Builtin", None)
@@ -103,9 +104,9 @@ def test_variable_types_and_receivers(spark):
     assert state[9] == state[10] == ("Missing", None) and out[10].evidence == "MissingImport"
     assert state[11] == ("ExternalDependency", None) and state[12] == ("ExternalDependency", None) and state[13] == ("StandardLibrary", None)
     assert state[14] == ("Recursive", None) and state[15] == ("RepositorySymbol", 3)
-    edges = flow.edges_of(flow.resolve(files, symbols, references, bindings))
+    edges = flow.edges_of(resolved)
     assert {(r.source_symbol_id, r.target_symbol_id, r.kind) for r in edges.collect()} >= {(2, 5, "method_call"), (2, 3, "method_call"), (7, 3, "calls")}
-    counts = {r.metric: r.n for r in knowledge.builder_counts(flow.resolve(files, symbols, references, bindings)).collect()}
+    counts = {r.metric: r.n for r in knowledge.builder_counts(resolved).collect()}
     assert counts["input"] == 15 and counts["repository"] == counts["edges_before"] + counts["self_loops"]
 
 
@@ -115,9 +116,10 @@ def test_bindings_decide_by_certainty(spark):
     none = spark.createDataFrame([], "rel_id long, file_id long, name string, source string, line_number long, kind string")
     imported = spark.createDataFrame([], "file_id long, name string, source string, symbol_id long")
     symbols = spark.createDataFrame([], "symbol_id long, file_id long, name string, kind string")
-    out = {r["var"]: r.type for r in flow.variable_types(frame, none, imported, symbols).collect()}
+    types = flow.variable_types(frame, none, imported, symbols)
+    out = {r["var"]: r.type for r in types.collect()}
     assert out == {"x": "Sure", "obj.f": "Field", "f": "Field", "obj2.x": "Sure", "z": "call", "p": "Sure", "q": "Sure"}
-    assert sum(r.variables for r in flow.flow_coverage(flow.variable_types(frame, none, imported, symbols)).collect()) == 7
+    assert sum(r.variables for r in flow.flow_coverage(types).collect()) == 7
 
 
 def test_cycles_and_subtree(spark):
