@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from symgraph.functions import vocabulary as v
 from symgraph.functions.scalars import in_scope
+from symgraph.functions.tables import materialize
 
 CALLS = ["calls"]
 OTHER_KINDS = [k for k in v.CANONICAL_KINDS if k not in CALLS]
@@ -85,6 +86,19 @@ def nodes(ids: DataFrame, symbols: DataFrame, files: DataFrame, features: DataFr
     return rows.select("symbol_id", F.when(F.col("entry"), "Entrypoint").otherwise("Symbol").alias("node_kind"), "name", "kind", "path")
 
 
+def targets(queries: DataFrame, symbols: DataFrame, files: DataFrame, most: int = 1_000) -> DataFrame:
+    """(query, symbol_id, file_id): what a context is built for. The lowest symbol of exactly the name; where there is none the
+    lowest file whose path has the text in any case (% and _ are wildcards), without a symbol; else nulls. Names that are no symbol are compared with all paths: more than `most` of them are refused (ValueError).
+    """
+    exact = symbols.groupBy(F.col("name").alias("query")).agg(F.min(F.struct("symbol_id", "file_id")).alias("s"))
+    rows = queries.select("query").distinct().join(exact, "query", "left")
+    unknown = materialize(rows.where("s is null").select("query"), "unknown")
+    if unknown.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} names are no symbols")
+    near = files.select("path", F.col("file_id").alias("_file")).join(F.broadcast(unknown), F.expr("path ilike concat('%', query, '%')")).groupBy("query").agg(F.min("_file").alias("f"))
+    return rows.join(near, "query", "left").select("query", "s.symbol_id", F.coalesce("s.file_id", "f").alias("file_id"))
+
+
 def previews(symbols: DataFrame, files: DataFrame, contents: DataFrame, name: str, context_lines: int = 0, limit: int = 5) -> DataFrame:
     """(symbol_id, path, kind, start_line, preview): the lines of each symbol of this name with some around them; contents (file_id, content). The lowest ids, `limit` of them."""
     own = symbols.where(F.col("name") == name).orderBy("symbol_id").limit(limit).join(files, "file_id").join(contents.select("file_id", "content"), "file_id", "left")

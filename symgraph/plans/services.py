@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from symgraph.functions import scalars
 from symgraph.functions import vocabulary as v
-from symgraph.operators import classify, context, features, flow, knowledge, paths, relational, resolver, retrieval, search, subsystem
+from symgraph.operators import classify, context, features, flow, knowledge, manifest, paths, relational, resolver, retrieval, search, subsystem
 from symgraph.plans.catalogue import _CONCEPTS, _LABELS, _PAGERANK, ROUGH_SQL, _add, _arcs, _over_graph, _over_rough, _over_table, _quoted
 from symgraph.sources import adapter, index
 
@@ -29,6 +29,8 @@ _over_rough("feature_table", _FEATURES + " FROM features")(_features)
 _over_rough("symbols_with_features", _FEATURES + " SELECT symbol_id, name, COALESCE(fan_in, 0) AS fan_in, COALESCE(is_callable, false) AS is_callable FROM rsymbols LEFT JOIN (FROM features WHERE fan_in > 3) f USING (symbol_id)")(lambda g: features.with_features(g.symbols, _features(g).where("fan_in > 3")).select("symbol_id", "name", "fan_in", "is_callable"))
 _over_rough("feature_coverage", _FEATURES + " SELECT count(*) AS symbols, count(f.symbol_id) AS with_features, count(*) FILTER (is_entrypoint) AS entrypoints, round(100.0 * count(f.symbol_id) / count(*), 6) AS percent FROM rsymbols s LEFT JOIN (FROM features WHERE fan_out > 1) f USING (symbol_id)")(lambda g: features.coverage(g.symbols, _features(g).where("fan_out > 1")))
 _over_rough("community_count", _FEATURES + " SELECT count(DISTINCT community_id) AS communities FROM features")(lambda g: features.communities_count(_features(g)))
+_over_rough("manifest_by_rank", _FEATURES + """, m AS (SELECT symbol_id, unnest(['fan_in', 'fan_out', 'connections', 'pagerank']) AS metric, unnest([CAST(fan_in AS DOUBLE), fan_out, fan_in + fan_out, pagerank]) AS value FROM features)
+SELECT metric, symbol_id, value FROM (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY value DESC, symbol_id) AS r FROM m WHERE value > 0) WHERE r = 1""")(lambda g: manifest.largest(_features(g)))
 _over_rough("interaction_counts", " SELECT symbol_id, interaction_count FROM rdegrees WHERE interaction_count > 0")(lambda g: relational.degree(g.symbols, g.edges).where("interaction_count > 0").select("symbol_id", "interaction_count"))
 _over_rough("incident_counts", " SELECT symbol_id, count(*) AS n FROM (SELECT source_symbol_id AS symbol_id FROM redges WHERE source_symbol_id IS NOT NULL UNION ALL SELECT target_symbol_id FROM redges WHERE source_symbol_id IS DISTINCT FROM target_symbol_id) GROUP BY 1")(lambda g: relational.incident_counts(g.edges))
 _over_rough("snapshot_by_rank", _FEATURES + " SELECT symbol_id, fan_in, fan_out, pagerank FROM features ORDER BY fan_in + fan_out DESC, pagerank DESC, symbol_id LIMIT 120")(lambda g: _features(g).select("symbol_id", "fan_in", "fan_out", "pagerank").orderBy(F.desc(F.col("fan_in") + F.col("fan_out")), F.desc("pagerank"), "symbol_id").limit(120))
@@ -86,6 +88,9 @@ _over_rough("symbol_candidates", " SELECT symbol_id, name, kind, path, start_lin
 _over_rough("symbol_lookups", ", q AS (SELECT DISTINCT query FROM (SELECT upper(s_name) AS query FROM supplier UNION ALL SELECT p_name FROM part UNION ALL SELECT 'none')) SELECT query, folded_id, exact_id, exact_file_id FROM q LEFT JOIN (SELECT lower(name) AS k, min(symbol_id) AS folded_id FROM rsymbols GROUP BY 1) ON k = lower(query) LEFT JOIN (SELECT name, min(symbol_id) AS exact_id, arg_min(file_id, symbol_id) AS exact_file_id FROM rsymbols GROUP BY 1) ON name = query")(
     lambda g: context.lookups(g.symbols.where("kind = 'function'").select(F.upper("name").alias("query")).union(g.symbols.where("kind = 'constant'").select("name")).union(g.files.limit(1).select(F.lit("none"))), g.symbols)
 )
+_over_rough("context_targets", ", q AS (SELECT unnest(['get_nation_3', 'ASIA/nation_1_.ts', 'Supplier#000000003', 'nowhere']) AS query), x AS (SELECT name, min(symbol_id) AS symbol_id, arg_min(file_id, symbol_id) AS f FROM rsymbols GROUP BY 1) SELECT query, symbol_id, COALESCE(f, (SELECT min(file_id) FROM rfiles WHERE path ILIKE '%' || query || '%')) AS file_id FROM q LEFT JOIN x ON name = query")(
+    lambda g: context.targets(g.files.limit(1).select(F.explode(F.array(*map(F.lit, ["get_nation_3", "ASIA/nation_1_.ts", "Supplier#000000003", "nowhere"]))).alias("query")), g.symbols, g.files)
+)
 _over_rough("names_in_files", " SELECT file_id, q.name, symbol_id FROM (SELECT DISTINCT file_id + 1 AS file_id, name FROM rsymbols WHERE kind = 'constant') q LEFT JOIN (SELECT file_id, name, min(symbol_id) AS symbol_id FROM rsymbols GROUP BY 1, 2) USING (file_id, name)")(lambda g: context.in_file(g.symbols.where("kind = 'constant'").select((F.col("file_id") + 1).alias("file_id"), "name"), g.symbols))
 _over_rough("nodes_by_id", " SELECT symbol_id, CASE WHEN symbol_id % 4 = 0 THEN 'Entrypoint' ELSE 'Symbol' END AS node_kind, name, kind, path FROM rsymbols JOIN rfiles USING (file_id) WHERE symbol_id % 3 = 0")(lambda g: context.nodes(g.symbols.where("symbol_id % 3 = 0").select("symbol_id").union(g.symbols.limit(1).select(F.lit(-5).cast("long"))), g.symbols, g.files, g.symbols.select("symbol_id", (F.col("symbol_id") % 4 == 0).alias("is_entrypoint"))))
 _over_rough("entrypoint_list", " SELECT 'cli' AS \"group\", path, name, kind FROM rsymbols JOIN rfiles USING (file_id) WHERE kind IN ('class', 'method') AND suffix(path, '.py')")(lambda g: context.entrypoint_list(g.symbols, g.files.withColumn("path", F.replace("path", F.lit("auth_index.py"), F.lit("__main__.py"))), classify.entrypoints).withColumn("path", F.replace("path", F.lit("__main__.py"), F.lit("auth_index.py"))))
@@ -147,7 +152,7 @@ def _typed_references(spark: SparkSession, sf_dir: str) -> tuple[adapter.Graph,
     items = read("lineitem").join(read("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(read("customer"), F.col("o_custkey") == F.col("c_custkey")).join(read("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(read("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     references = items.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long").alias("rel_id"), (F.col("c_nationkey") + 1).cast("long").alias("file_id"), F.concat(F.lit("get_"), lower("n_name")).alias("name"), F.concat(F.lit("v"), F.col("l_linenumber")).alias("source"), (F.col("l_linenumber") * 4).cast("long").alias("line_number"), F.lit("method_call").alias("kind"))
     region = read("region").select((F.col("r_regionkey") + 1).alias("k"), F.concat(F.lit("notify_"), lower("r_name")).alias("t"))
-    typed = read("nation").crossJoin(F.broadcast(region)).where("k <= 5")  # five types for each of 25 files
+    typed = read("nation").select("n_nationkey", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("k")).join(region, "k")  # five types for each of 25 files
     bindings = typed.select((F.col("n_nationkey") * 10 + F.col("k")).cast("long").alias("binding_id"), (F.col("n_nationkey") + 1).cast("long").alias("file_id"), F.lit("var_type").alias("kind"), F.concat(F.lit("v"), F.col("k").cast("int")).alias("name"), F.when(F.col("k") == 5, "nothing").otherwise(F.col("t")).alias("type_name"))
     return g, references, bindings
 
